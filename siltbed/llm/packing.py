@@ -74,7 +74,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     Pieces of one length are interchangeable, and so are sequences with one gap, so a round moves
     intervals of ranks: it takes the longest pieces left, sweeps the gaps upwards from the first
     that holds them (the successor), gives each gap's sequences to the lowest ranks that have none
-    yet, and puts the lessened gaps back in order for the next round. What no gap holds opens new
+    yet, as many as they hold, and puts the lessened gaps back in order for the next round. What no gap holds opens new
     sequences. The result is that of best-fit decreasing. The table has at most `capacity` lengths
     and 2 runs of sequences for each length, whatever the number of documents.
     """
@@ -104,11 +104,17 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             if not runs[gap]:
                 del runs[gap]
                 gaps.pop(at)
-            used = min(n, total - rank)
-            moves.append((length, rank, rank + used, first, capacity - gap))
-            put(gap - length, first, used)
+            # No other gap lies between this one and what a piece leaves of it, so it takes all it can hold.
+            each = gap // length
+            full = min(n, (total - rank) // each)
+            rest = min(total - rank - full * each, each) if full < n else 0
+            for sequences, to, slots in ((full, first, each), (min(rest, 1), first + full, rest)):
+                for slot in range(slots if sequences else 0):
+                    moves.append((length, rank, rank + sequences, to, capacity - gap + slot * length))
+                    rank += sequences
+                put(gap - slots * length, to, sequences)
+            used = full + min(rest, 1)
             put(gap, first + used, n - used)
-            rank += used
     return moves
 
 
