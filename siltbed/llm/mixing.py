@@ -51,13 +51,13 @@ def mix(docs: DataFrame, scratch: Scratch, *, weights: list[float] = (5, 2, 1),
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     read = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), ((hashed + 0.5) / 2.0**52).alias("u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.save(read, "rows")
-    sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"), (F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("mean"))
+    sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean"))
     sources = scratch.save(sources, "sources")
     goals = scratch.save(targets(sources.drop("mean"), scratch, list(weights), share, float(most)).join(sources.select("key", "mean"), "key"), "goals")
-    expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size") * (F.lit(1.0) if weight is None else F.col("w") / F.col("mean")))).otherwise(0.0)
+    expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.try_divide(F.col("target"), F.col("source_size")) * (F.lit(1.0) if weight is None else F.try_divide(F.col("w"), F.col("mean"))))).otherwise(0.0)
     rows = rows.join(goals.drop("mean"), "key").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
     p = F.col("expected") - F.col("whole")
-    odds = F.col("u") / (1 - F.col("u")) / (p / (1 - p))
+    odds = F.try_divide(F.col("u") / (1 - F.col("u")), p / (1 - p))
     rows = rows.withColumn("q", F.when((p > 0) & (F.col("size") > 0), odds)).withColumn("x", F.col("q") / (1 + F.col("q")) * BUCKETS)
     rows = rows.withColumn("b", F.floor("x").cast("int")).withColumn("c", F.floor((F.col("x") - F.floor("x")) * BUCKETS).cast("int"))
     lacking = rows.groupBy("key").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"))
