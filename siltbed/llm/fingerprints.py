@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, *, k: int = 128, ranges: int | None = None) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = ranges or 3 * parts
-    found = read.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
+    found = [] if n < 2 else read.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
     bounds = np.unique(np.array(found, np.int64))
 
     @F.pandas_udf("int")

@@ -91,8 +91,8 @@ def identify(docs: DataFrame, learn: Column, *, keep: list[str], least_margin: f
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = Classifier(table.value)
         for batch in batches:
-            found = [name(x) for x in W.column_of(batch, "_text").to_pylist()]
-            own = [c for c in batch.schema.names if c != "_text"]
+            found = [name(x) for x in W.column_of(batch, "siltbed_text").to_pylist()]
+            own = [c for c in batch.schema.names if c != "siltbed_text"]
             columns = [W.column_of(batch, c) for c in own]
             margin = [m for _, m in found]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in found], pa.string()), pa.array(margin, pa.float64()), pa.array([n != UNKNOWN and m >= least_margin for n, m in found], pa.bool_())], names=[*own, "lang_pred", "score", "accepted"])
@@ -100,4 +100,4 @@ def identify(docs: DataFrame, learn: Column, *, keep: list[str], least_margin: f
     clash = [c for c in keep if c in ("lang_pred", "score", "accepted")]
     kept = docs.select(*(c for c in keep if c not in clash))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, accepted boolean"
-    return docs.select(*kept.columns, F.col("text").cast("string").alias("_text")).mapInArrow(judge, schema)
+    return docs.select(*kept.columns, F.col("text").cast("string").alias("siltbed_text")).mapInArrow(judge, schema)

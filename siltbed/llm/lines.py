@@ -153,16 +153,16 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike
         table = found.toArrow()
         order = np.argsort(table["line"].to_numpy())
         sent = docs.sparkSession.sparkContext.broadcast(dict(zip(table["line"].to_numpy()[order].tolist(), table["first"].to_numpy()[order].tolist(), strict=True)))
-        read = docs.withColumn("_drop", F.lit(None).cast("array<long>"))
+        read = docs.withColumn("siltbed_drop", F.lit(None).cast("array<long>"))
     else:
         sent = None
         pairs = docs.sparkSession.read.schema("doc_id long, line long, template long").parquet(f"{scratch.root}/known").join(found, "line").where("doc_id != first")
-        read = docs.join(pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        read = docs.join(pairs.groupBy(F.col("doc_id").alias("siltbed_id")).agg(F.collect_set("line").alias("siltbed_drop")), F.col("doc_id") == F.col("siltbed_id"), "left").drop("siltbed_id")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, dropped = [], [], []
-            for doc, text, drop in zip(*(W.column_of(batch, c).to_pylist() for c in ("doc_id", "text", "_drop")), strict=True):
+            for doc, text, drop in zip(*(W.column_of(batch, c).to_pylist() for c in ("doc_id", "text", "siltbed_drop")), strict=True):
                 own = (text or "").encode().split(b"\n")
                 if doc is None:
                     kept = own
