@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, jaccard, language, lines, mixing, packing, passages, quality, urls
+from . import fingerprints, html, jaccard, language, lines, mixing, oracles, packing, passages, quality, urls
 from .scratch import Scratch
 
 #: Rules of the URL query: (verdict, host, path).
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_substring_dedup, op3_html_extraction, op4_document_fingerprints, op5_language_id, op6_ngram_jaccard, op7_best_fit_packing, op8_url_filters, op9_quality_rules, op10_mixing_sources)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.oracles(RULES)
