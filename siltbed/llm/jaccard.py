@@ -194,9 +194,9 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     hot = leaders.where("length(often) > 0").select("gid", "often").mapInArrow(chains, "a long, b long").distinct()
     hot = hot.union(found.where("kind = 1 and a != b").select("a", "b"))
     pool = components(hot, scratch, "pool").where("node >= 0")
-    pooled = who.join(pool, who.gid == pool.node, "left").where(f"root is not null or sets > {over}").select(F.coalesce("root", "gid").alias("pool"), "rep", "n")
+    pooled = who.join(pool, who.gid == pool.node, "left").where(f"root is not null or sets > {over}").select(F.coalesce("root", "gid").alias("pool"), "rep", "n", "parts")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    pooled = scratch.save(pooled.select("pool", "rep", "n", band.alias("band")), "pooled")
+    pooled = scratch.save(pooled.select("pool", "rep", "n", "parts", band.alias("band")), "pooled")
     bands = pooled.groupBy("pool", "band").agg(F.count("*").alias("sets"))
     after = bands.select("pool", (F.col("band") - 1).alias("band"), F.col("sets").alias("more"))
     before = bands.select("pool", (F.col("band") + 1).alias("band"), F.col("sets").alias("less"))
@@ -208,8 +208,9 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     own = F.transform(F.sequence(F.lit(0), F.col("sets") - 1), lambda t: F.struct(F.col("band").alias("band"), F.least(t, F.col("salt")).alias("i"), F.lit(0).alias("up"), F.greatest(t, F.col("salt")).alias("j")))
     up = F.when(F.col("more") > 0, F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda t: F.struct(F.col("band").alias("band"), F.col("salt").alias("i"), F.lit(1).alias("up"), t.alias("j")))).otherwise(F.array().cast("array<struct<band:int,i:int,up:int,j:int>>"))
     down = F.when(F.col("less") > 0, F.transform(F.sequence(F.lit(0), F.col("less") - 1), lambda t: F.struct((F.col("band") - 1).alias("band"), t.alias("i"), F.lit(1).alias("up"), F.col("salt").alias("j")))).otherwise(F.array().cast("array<struct<band:int,i:int,up:int,j:int>>"))
-    meets = pooled.select("pool", "rep", "n", F.explode(F.concat(own, up, down)).alias("m")).select(F.concat_ws(":", "pool", "m.band", "m.i", "m.up", "m.j").alias("cell"), "rep", "n")
-    needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(pooled.select("rep")).toDF("id").distinct(), "needed")
+    meets = pooled.select("pool", "rep", "n", "parts", F.explode(F.concat(own, up, down)).alias("m")).select(F.concat_ws(":", "pool", "m.band", "m.i", "m.up", "m.j").alias("cell"), "rep", "n", "parts")
+    meets = scratch.save(meets.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "cell string, rep long"), "meets")
+    needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(meets.select("rep")).toDF("id").distinct(), "needed")
     sets = scratch.save(_whole_sets(docs, needed, size, known), "sets")
     verified = _verify_pairs(pairs, sets, percent)
     verified = verified.union(meets.join(sets, meets.rep == sets.id).select("cell", "rep", "values").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
@@ -264,6 +265,34 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.distinct().join(left, "x").join(right, "y").mapInArrow(check, "a long, b long")
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each cell, from batches sorted by cell."""
+    now, held = None, []
+    for batch in batches:
+        for cell, *rest in zip(*(W.column_of(batch, c).to_pylist() for c in ("cell", *names)), strict=True):
+            if cell != now:
+                if held:
+                    yield held
+                now, held = cell, []
+            held.append((cell, *rest))
+    if held:
+        yield held
+
+
+def _sieve_cells(percent: int):  # noqa: ANN202
+    """Rows (cell, rep, n, parts) become (cell, rep) of those that some other one of the cell may link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_cell(batches, ["rep", "n", "parts"]):
+            n = np.array([r[2] for r in rows], np.int64)
+            counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, PARTS).astype(np.int16)
+            fits = [int((np.abs(counts - counts[i]).sum(axis=1) <= _bar(n, n[i], percent)).sum()) > 1 for i in range(len(rows))]
+            kept = [r for r, fit in zip(rows, fits, strict=True) if fit]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in kept], pa.string()), pa.array([r[1] for r in kept], pa.int64())], names=["cell", "rep"])
+
+    return run
+
+
 def _verify_cells(percent: int):  # noqa: ANN202
     """Rows (cell, rep, values) sorted by cell become a spanning forest of each cell's links."""
 
@@ -301,18 +330,9 @@ def _verify_cells(percent: int):  # noqa: ANN202
         return a, b
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
-        for batch in batches:
-            for cell, rep, values in zip(*(W.column_of(batch, c).to_pylist() for c in ("cell", "rep", "values")), strict=True):
-                if cell != now:
-                    if len(ids) > 1:
-                        a, b = flush(ids, sets)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    now, ids, sets = cell, [], []
-                ids.append(rep)
-                sets.append(values)
-        if len(ids) > 1:
-            a, b = flush(ids, sets)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for rows in _by_cell(batches, ["rep", "values"]):
+            if len(rows) > 1:
+                a, b = flush([r[1] for r in rows], [r[2] for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return check
