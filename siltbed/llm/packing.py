@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +31,72 @@ def _tokenizer(path: str):  # noqa: ANN202
     return Tokenizer.from_file(path)
 
 
+#: Latin letters between ASCII marks: the tokenizer takes each run of marks as one part and the letters as
+#: another, unless an apostrophe stands before letters or a special token is spelled out.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """How a byte-level tokenizer spells these letters: printable bytes as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     parts between spaces and newlines, one after another; each part is tokenized once and remembered.
+    New parts of Latin letters, lower-cased as the tokenizer does, go to its merges directly.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": b""}
+        self.tokenizer, self.known, self.letters, self.marks = _tokenizer(path), {"": b""}, {}, {"": b""}
+        self.names = _byte_names()
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[text] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.marks[text]
+
+    def _learn(self, parts: set[str]) -> None:
+        merge, letters, odd = self.tokenizer.model.tokenize, self.letters, []
+        for x in parts:
+            m = _PLAIN.fullmatch(x)
+            if not m or "<|" in x:
+                odd.append(x)
+                continue
+            before, word, after = m.groups()
+            word = word.lower()
+            own = letters.get(word)
+            if own is None:
+                own = letters[word] = array("I", [t.id for t in merge(word if word.isascii() else word.translate(self.names))]).tobytes()
+            self.known[x] = self._mark(before) + own + self._mark(after)
+        for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[x] = array("I", found.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        new = list(set().union(*parts) - self.known.keys()) if parts else []
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+        if len(self.letters) > REMEMBERED:
+            self.letters = {}
+        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        found = [list(map(self.known.get, x)) for x in parts]
+        missing = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in found]
+        self._learn({own[i] for own, lost in zip(parts, missing, strict=True) for i in lost})
+        for own, have, lost in zip(parts, found, missing, strict=True):
+            for i in lost:
+                have[i] = self.known[own[i]]
+        return [b"".join(x) for x in found]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -53,7 +104,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         for batch in batches:
             texts = W.column_of(batch, "text").to_pylist()
             out: list[list] = [[], [], [], [], []]
