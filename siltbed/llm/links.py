@@ -17,7 +17,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     with a null end are ignored, and so are loops and repeated links.
     """
     now = scratch.save(_stars(edges.where("a is not null and b is not null and a != b")), f"{name}0")
-    k = 0
+    k, seen = 0, _sum(now)
     while True:
         k += 1
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,10 +27,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         floor = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct(F.col("a").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
         new = scratch.save(_stars(small), f"{name}{k}")
-        change = new.exceptAll(now).limit(1).count() + now.exceptAll(new).limit(1).count()
         scratch.drop(f"{name}{k}l", f"{name}{k - 1}")
-        now = new
-        if not change:
+        now, before, seen = new, seen, _sum(new)
+        if seen == before:
             break
     roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
@@ -38,3 +37,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def _stars(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _sum(edges: DataFrame) -> tuple:
+    """A count and a sum of hashes, which tell whether a round has changed the links."""
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
