@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,12 @@ from . import words as W
 from .scratch import Scratch, set_batches
 
 U = np.uint64
-#: Leading tokens at which a leaf may be cut; the first is the tree's depth, the others split leaves that grow too large.
-DEPTHS = (2, 3, 4, 6)
+#: Leading tokens that lead to a leaf: the tree's depth.
+DEPTH = 2
 #: Tokens of a line, evenly spaced, that stand for it within its leaf.
 SAMPLE = 16
 _FIELD = U(0x5F2A91C3D4E6B807)  # the hash of a variable field
-LINES = "doc_id long, line long, " + ", ".join(f"leaf{d} long" for d in DEPTHS) + ", masked long, sample binary"
+LINES = "doc_id long, line long, leaf long, masked long, sample binary"
 
 
 def line_hash(line: bytes) -> int:
@@ -27,7 +28,7 @@ def line_hash(line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a word: its hash, its leaf by depth, its masked hash and sampled tokens.
+    """A row for each line with a word: its hash, its leaf, its masked hash and sampled tokens.
 
     A token with a digit is a variable field. Leaves hold lines of one token count."""
     names = [x.split()[0] for x in LINES.split(", ")]
@@ -49,12 +50,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digits = np.concatenate([[0], np.cumsum(digit[own])])
                 tokens = np.where(digits[part.ends] > digits[part.starts], _FIELD, part.hashes)
                 n, begin = count[full], part.rows[:-1][full]
-                padded = np.concatenate([tokens, np.zeros(max(DEPTHS) + 1, U)])
-                leaf, leaves = n.astype(U), {}
-                for i in range(max(DEPTHS)):
+                padded = np.concatenate([tokens, np.zeros(DEPTH + 1, U)])
+                leaf = n.astype(U)
+                for i in range(DEPTH):
                     leaf = W.mix(leaf * U(31) + np.where(n > i, padded[np.minimum(begin + i, len(tokens))], U(7)))
-                    if i + 1 in DEPTHS:
-                        leaves[i + 1] = leaf.view(np.int64)
                 place = np.arange(len(tokens)) - np.repeat(part.rows[:-1], count)
                 masked = W.mix(np.add.reduceat(W.mix(tokens + place.astype(U) * U(0x9E3779B97F4A7C15)), begin) + n.astype(U)).view(np.int64)
                 k = np.minimum(n, SAMPLE)
@@ -63,28 +62,49 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = own.tobytes()
                 hashes = [line_hash(text[cuts[i] : cuts[i + 1]]) for i in full]
                 doc = np.searchsorted(rows, cuts[:-1][full], "right") - 1 + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), *(pa.array(leaves[d]) for d in DEPTHS), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)])], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64)), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)])], names=names)
             at = to
 
 
-def _templates(alike: float):  # noqa: ANN202
-    """Rows (leaf, masked, sample) sorted by leaf: (masked, template) of lines that join another's template."""
+def _templates(alike: float, direct: int):  # noqa: ANN202
+    """Rows (leaf, masked, sample) sorted by leaf: (masked, template) of lines that join another's template.
+
+    A line is compared to all templates of its leaf up to `direct` of them. Of more, those are looked up that have one of
+    its rarest tokens in place: as many tokens as may differ and one more, so none that is alike is passed over."""
 
     def group(masked: list[int], samples: list[bytes]) -> list[tuple[int, int]]:
-        own = [np.frombuffer(x, "<u2") for x in samples]
-        heads, forms, fixed, joined = [], [], [], []
+        own = np.frombuffer(b"".join(samples), "<u2").reshape(len(samples), -1)
+        size = own.shape[1]
+        forms, fixed = np.empty_like(own), np.zeros(own.shape, bool)
+        heads, joined, at = [], [], {}
+        needed = next(k for k in range(size + 1) if k / size >= alike or k == size)
+
+        def index(head: int) -> None:
+            for key in enumerate(forms[head].tolist()):
+                at.setdefault(key, []).append(head)
+
         for key, tokens in zip(masked, own, strict=True):
-            if heads:
-                same = np.array(forms) == tokens
-                score = (same & np.array(fixed)).sum(axis=1) / len(tokens)
+            n = len(heads)
+            if n <= direct:
+                some = np.arange(n)
+            else:
+                found = sorted((at.get(x, ()) for x in enumerate(tokens.tolist())), key=len)[: size - needed + 1]
+                some = np.unique(np.fromiter(chain.from_iterable(found), np.int64))
+            if len(some):
+                same = (forms[some] == tokens) & fixed[some]
+                score = same.sum(axis=1) / size
                 best = int(score.argmax())
                 if score[best] >= alike:
-                    fixed[best] = fixed[best] & same[best]
-                    joined.append((key, heads[best]))
+                    fixed[some[best]] = same[best]
+                    joined.append((key, heads[some[best]]))
                     continue
+            forms[n], fixed[n] = tokens, True
             heads.append(key)
-            forms.append(tokens)
-            fixed.append(np.ones(len(tokens), bool))
+            if n == direct:
+                for head in range(n):
+                    index(head)
+            if n >= direct:
+                index(n)
         return joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,27 +133,21 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     Lines are led to a leaf by their token count and two leading tokens, where a token with a digit
     is a variable field. Within a leaf a line joins the template that shares most of its sampled
     tokens, `alike` of them at least, and where they differ the template gets a field. Equal masked lines are one
-    before that; a leaf of more than `leaf` of them is split by further leading tokens, so that no
-    task holds a large one, and in the end to single masked lines.
+    before that. Leaves are the same at every size of the corpus: in one of more than `leaf` templates a line looks up
+    those it may join by its tokens, with the same result.
     """
     set_batches(docs.sparkSession)
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.save(read.mapInArrow(_lines, LINES), "lines")
-    masked = lines.groupBy("masked").agg(*(F.min(f"leaf{d}").alias(f"leaf{d}") for d in DEPTHS), F.min("sample").alias("sample"))
-    masked = scratch.save(masked, "masked").withColumn("leaf", F.lit(None).cast("long")).withColumn("open", F.lit(True))
-    for d in DEPTHS:
-        large = masked.where("open").groupBy(f"leaf{d}").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select(f"leaf{d}", F.lit(True).alias("large"))
-        masked = masked.join(large, f"leaf{d}", "left")
-        fits = F.col("open") & F.col("large").isNull()
-        masked = masked.withColumn("leaf", F.when(fits, F.col(f"leaf{d}")).otherwise(F.col("leaf"))).withColumn("open", F.col("open") & F.col("large").isNotNull()).drop("large")
+    masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("sample").alias("sample"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = masked.where("leaf is not null").select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
-    joined = scratch.save(dealt.mapInArrow(_templates(alike), "masked long, template long"), "joined")
+    dealt = masked.select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
+    joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked").join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"))
     known = scratch.save(known.distinct(), "known")
     often = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= documents)
     found = scratch.save(known.join(often, "template").groupBy("line").agg(F.min("first").alias("first")), "found")
-    scratch.drop("lines", "masked", "joined")
+    scratch.drop("lines", "joined")
     return found
 
 

@@ -37,6 +37,29 @@ def test_large_leaves_are_split(spark, scratch):
     assert sum("Subscribe" in t for t in found.values()) == 1
 
 
+def names(n):
+    """n words without a digit."""
+    return ["name" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
+
+
+def test_templates_of_more_lines_than_a_leaf_compares(spark, scratch):
+    rows = [(i, f"unique text {x}\nPosted by {x} in the forum of our town", "en", "a") for i, x in enumerate(names(1200))]
+    found = lines.dedup_lines(documents(spark, rows), scratch).collect()
+    assert sum("Posted by" in r["text"] for r in found) == 1
+
+
+def test_looked_up_templates_are_those_compared():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 7, 16):
+        samples = [bytes(2 * size)] + [rng.zipf(1.5, size).clip(0, 60000).astype("<u2").tobytes() for _ in range(800)]
+        batch = pa.RecordBatch.from_pydict({"leaf": [1] * 801, "masked": [*range(801)], "sample": samples})
+        made = [[b.to_pydict() for b in lines._templates(0.6, direct)(iter([batch]))] for direct in (0, 10, 10_000)]
+        assert made[0] == made[1] == made[2]
+
+
 def test_edges(spark, scratch):
     rows = edge_rows()
     made = lines.dedup_lines(documents(spark, rows), scratch, documents=2)
