@@ -19,6 +19,8 @@ U = np.uint64
 DEPTH = 2
 #: Tokens of a line, evenly spaced, that stand for it within its leaf.
 SAMPLE = 16
+#: Tokens that all lines of a template have in place and that are no fields: so many at least, and half of all tokens.
+CONSTANT = 3
 _FIELD = U(0x5F2A91C3D4E6B807)  # the hash of a variable field
 LINES = "doc_id long, line long, leaf long, masked long, sample binary"
 
@@ -30,7 +32,8 @@ def line_hash(line: bytes) -> int:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with a word: its hash, its leaf, its masked hash and sampled tokens.
 
-    A token with a digit is a variable field. Leaves hold lines of one token count."""
+    A token with a digit is a variable field. Leaves hold lines of one token count. A line of too few constant tokens
+    for a template has its own hash for the masked one, and no leaf."""
     names = [x.split()[0] for x in LINES.split(", ")]
     digit = np.zeros(256, bool)
     digit[48:58] = True
@@ -61,8 +64,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = (tokens[pick] >> U(48)).astype("<u2")
                 text = own.tobytes()
                 hashes = [line_hash(text[cuts[i] : cuts[i + 1]]) for i in full]
+                constant = np.add.reduceat((tokens != _FIELD).astype(np.int64), begin)
+                bare = (constant < CONSTANT) | (2 * constant < n)
+                masked = np.where(bare, np.array(hashes, np.int64), masked)
                 doc = np.searchsorted(rows, cuts[:-1][full], "right") - 1 + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64)), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)])], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)])], names=names)
             at = to
 
 
@@ -72,6 +78,8 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
     A line is compared to all templates of its leaf up to `direct` of them. Of more, those are looked up that have one of
     its rarest tokens in place: as many tokens as may differ and one more, so none that is alike is passed over."""
 
+    field = int(_FIELD >> U(48))
+
     def group(masked: list[int], samples: list[bytes]) -> list[tuple[int, int]]:
         own = np.frombuffer(b"".join(samples), "<u2").reshape(len(samples), -1)
         size = own.shape[1]
@@ -92,9 +100,10 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
                 some = np.unique(np.fromiter(chain.from_iterable(found), np.int64))
             if len(some):
                 same = (forms[some] == tokens) & fixed[some]
-                score = same.sum(axis=1) / size
+                constant = (same & (tokens != field)).sum(axis=1)
+                score = np.where((constant >= CONSTANT) & (2 * constant >= size), same.sum(axis=1) / size, 0.0)
                 best = int(score.argmax())
-                if score[best] >= alike:
+                if score[best] >= max(alike, 1e-9):
                     fixed[some[best]] = same[best]
                     joined.append((key, heads[some[best]]))
                     continue
@@ -132,7 +141,8 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
 
     Lines are led to a leaf by their token count and two leading tokens, where a token with a digit
     is a variable field. Within a leaf a line joins the template that shares most of its sampled
-    tokens, `alike` of them at least, and where they differ the template gets a field. Equal masked lines are one
+    tokens, `alike` of them at least, and where they differ the template gets a field. CONSTANT tokens and half of all
+    must be none: lines of fewer (numbers, dates, two words) recur only where they are equal. Equal masked lines are one
     before that. Leaves are the same at every size of the corpus: in one of more than `leaf` templates a line looks up
     those it may join by its tokens, with the same result.
     """
@@ -141,7 +151,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     lines = scratch.save(read.mapInArrow(_lines, LINES), "lines")
     masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("sample").alias("sample"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = masked.select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
+    dealt = masked.where("leaf is not null").select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
     joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked").join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"))
     known = scratch.save(known.distinct(), "known")

@@ -48,6 +48,15 @@ def test_templates_of_more_lines_than_a_leaf_compares(spark, scratch):
     assert sum("Posted by" in r["text"] for r in found) == 1
 
 
+def test_lines_without_constants_stay(spark, scratch):
+    """Rows of numbers, dates and short sentences are dropped only where they are equal."""
+    words = names(40)
+    rows = [(i, f"{i * 37} {i * 91}.5 {i}/7\nIt was {words[i]}\nPage {i}\n17 18 19\nRow {words[i]} {i} {i + 1} {i + 2} {i + 3}", "en", "a") for i in range(40)]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, rows), scratch).collect()}
+    assert found[0] == rows[0][1]
+    assert all(found[i] == t.replace("17 18 19\n", "") for i, t, *_ in rows[1:])
+
+
 def test_looked_up_templates_are_those_compared():
     import numpy as np
     import pyarrow as pa
