@@ -167,16 +167,20 @@ class Page:
             parent.children.append(node)
         stack.append((tag, node, state))
 
-    def tree(self) -> tuple[tuple, list[int]]:
-        """The tree as nested (label, children), and a hash of the text of each node, in preorder."""
-        hashes: list[int] = []
+    def tree(self) -> tuple:
+        """The tree as nested (label, children); nodes are numbered in preorder."""
+        count = 0
 
         def walk(node: Node) -> tuple:
-            node.id = len(hashes)
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(node.texts)) - (1 << 63) if node.texts else 0)
+            nonlocal count
+            node.id, count = count, count + 1
             return node.label, tuple(walk(x) for x in node.children)
 
-        return walk(self.root), hashes
+        return walk(self.root)
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def write_tree(tree: tuple) -> str:
@@ -246,10 +250,32 @@ def align(mine: str, reference: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def content(page: Page, template: set[int], slots: tuple[int, ...]) -> str:
-    """The blocks that are in no template slot and not outside of the article, one a line."""
+@lru_cache(1 << 12)
+def slots_of(mine: str, reference: str) -> tuple[int, ...]:
+    """For each node of `mine`, in preorder, its slot: the node of `reference` it matches or, where there is none, a
+    negative hash of its path (labels from the root and, of children with equal ones, the place)."""
+    paths: list[str] = []
+
+    def walk(tree: tuple, path: str) -> None:
+        paths.append(path)
+        seen: dict[str, int] = {}
+        for x in tree[1]:
+            k = seen[x[0]] = seen.get(x[0], -1) + 1
+            walk(x, f"{path}/{x[0]}:{k}")
+
+    walk(read_tree(mine), "")
+    return tuple(at if at >= 0 else -1 - (xxhash.xxh3_64_intdigest(path) >> 1) for at, path in zip(align(mine, reference), paths, strict=True))
+
+
+def candidates(page: Page) -> list[tuple[Node, str, int]]:
+    """The blocks that are not outside of the article: node, text, state."""
+    return [(node, text, state) for node, text, linked, state in page.blocks if state != -1 and linked < 0.6]
+
+
+def content(page: Page, template: set[tuple[int, int]], slots: tuple[int, ...]) -> str:
+    """The blocks that are not template (slot and hash of the text) and not outside of the article, one a line."""
     page.tree()
-    kept = [(text, state) for node, text, linked, state in page.blocks if state != -1 and linked < 0.6 and (not slots or slots[node.id] not in template)]
+    kept = [(text, state) for node, text, state in candidates(page) if not slots or (slots[node.id], text_hash(text)) not in template]
     for least in (2, 1):
         inside = [text for text, state in kept if state >= least]
         if inside:
@@ -257,19 +283,26 @@ def content(page: Page, template: set[int], slots: tuple[int, ...]) -> str:
     return "\n".join(text for text, _ in kept)
 
 
+def _columns(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+
 def extract(pages: DataFrame, scratch: Scratch, *, recurring: float = 0.5, least: int = 4, known: int = 1 << 18) -> DataFrame:
     """page_id, url, text, n_chars of each page: its main text.
 
     A page's block elements form a tree, in which equal text elements of one parent (paragraphs,
     items) are merged. A host's most frequent tree is its reference; simple tree matching aligns
-    each page's tree with it. A slot (node of the reference) whose text, over `least` or more
-    different pages of the host, recurs in the share `recurring` of them, is template; what varies is content. Elements
+    each page's tree with it. A slot is a node of the reference or, for nodes it lacks, a path of labels.
+    The host's main slot is the one with most different text; pages that agree there (mirrored articles) count once.
+    A block is template, in its slot, if its own text is on the share `recurring` of the slot's pages, which are
+    `least` or more; outside of the main slot also if it is on two pages or more and the slot has few texts, one for `least` pages on
+    average. A text that does not recur is never template. Elements
     that are by name or class no part of an article (menus, forms, adverts, comments ...) go too, and
     where there is an article or main region, only its blocks stay. Character references are
     decoded, white space in a block is one space, blocks are joined by a newline.
 
     The host is taken from url as in urls.host_and_path(); pages without one share the empty host. A host's reference and template
-    slots come from counts over all its pages; up to `known` of them are sent to the scans, more are joined
+    texts come from counts over all its pages; up to `known` texts are sent to the scans, more are joined
     by host. A null or empty html gives an empty text. Rows with equal ids are extracted one by one; pages of
     equal texts count once. Columns other than page_id, url and html are not read.
     """
@@ -281,36 +314,62 @@ def extract(pages: DataFrame, scratch: Scratch, *, recurring: float = 0.5, least
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees, texts = [], []
+            trees, nodes, texts, sizes = [], [], [], []
             for source in W.column_of(batch, "html").to_pylist():
-                tree, hashes = Page(source or "").tree()
-                trees.append(write_tree(tree))
-                texts.append(hashes)
-            yield pa.RecordBatch.from_arrays([W.column_of(batch, "host"), pa.array(trees, pa.string()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "tree", "texts"])
-
-    outlines = scratch.save(read.select("host", "html").mapInArrow(outline, "host string, tree string, texts array<long>"), "outlines")
+                page = Page(source or "")
+                trees.append(write_tree(page.tree()))
+                own = candidates(page)
+                nodes.append([node.id for node, _, _ in own])
+                texts.append([text_hash(text) for _, text, _ in own])
+                sizes.append([len(text) for _, text, _ in own])
+            yield pa.RecordBatch.from_arrays([W.column_of(batch, "host"), pa.array(trees, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["host", "tree", "nodes", "texts", "sizes"])
+
+    outlines = scratch.save(read.select("host", "html").mapInArrow(outline, "host string, tree string, nodes array<int>, texts array<long>, sizes array<int>"), "outlines")
     counted = outlines.groupBy("host", "tree").agg(F.count("*").alias("n"))
     references = scratch.save(counted.groupBy("host").agg(F.max(F.struct("n", "tree")).alias("m")).select("host", F.col("m.tree").alias("reference")), "references")
-    different = outlines.distinct()
+    different = scratch.save(outlines.distinct().join(references, "host"), "different")
+
+    def in_slots(batch: pa.RecordBatch) -> Iterator[tuple[dict, dict[int, list[int]], dict[int, int]]]:
+        """Each row, the hashes of its texts by slot, and the letters by slot."""
+        for row in batch.to_pylist():
+            slots = slots_of(row["tree"], row["reference"])
+            texts, sizes = {}, {}
+            for node, text, size in zip(row["nodes"], row["texts"], row["sizes"], strict=True):
+                texts.setdefault(slots[node], []).append(text)
+                sizes[slots[node]] = sizes.get(slots[node], 0) + size
+            yield row, texts, sizes
+
+    def whole(texts: list[int]) -> int:
+        return text_hash(" ".join(map(str, texts)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(row["host"], slot, whole(own), sizes[slot]) for row, texts, sizes in in_slots(batch) for slot, own in texts.items()]
+            yield _columns(rows, {"host": pa.string(), "slot": pa.int64(), "value": pa.int64(), "size": pa.int64()})
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, slot, text = [], [], []
-            for h, tree, texts, reference in zip(*(W.column_of(batch, c).to_pylist() for c in ("host", "tree", "texts", "reference")), strict=True):
-                for own, at in zip(texts, align(tree, reference), strict=True):
-                    if own and at >= 0:
-                        host.append(h)
-                        slot.append(at)
-                        text.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(slot, pa.int32()), pa.array(text, pa.int64())], names=["host", "slot", "value"])
-
-    votes = different.join(references, "host").mapInArrow(vote, "host string, slot int, value long").groupBy("host", "slot", "value").agg(F.count("*").alias("n"))
-    slots = votes.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
-    template = slots.where((F.col("pages") >= least) & (F.col("again") >= recurring * F.col("pages"))).groupBy("host").agg(F.collect_set("slot").alias("slots"))
-    wrappers = scratch.save(references.join(template, "host"), "wrappers")
-    if wrappers.count() <= known:
-        sent = spark.sparkContext.broadcast({r["host"]: (r["reference"], set(r["slots"])) for r in wrappers.toLocalIterator()})
-        read = read.withColumn("reference", F.lit(None).cast("string")).withColumn("slots", F.lit(None).cast("array<int>"))
+            rows = []
+            for row, texts, _ in in_slots(batch):
+                page = whole(texts[row["main"]]) if row["main"] in texts else whole([x for own in texts.values() for x in own])
+                rows += [(row["host"], slot, text, page) for slot, own in texts.items() for text in dict.fromkeys(own)]
+            yield _columns(rows, {"host": pa.string(), "slot": pa.int64(), "value": pa.int64(), "page": pa.int64()})
+
+    weights = different.mapInArrow(weigh, "host string, slot long, value long, size long").distinct().groupBy("host", "slot").agg(F.sum("size").alias("size"))
+    main = scratch.save(weights.groupBy("host").agg(F.max(F.struct("size", "slot")).alias("m")).select("host", F.col("m.slot").alias("main")), "main")
+    votes = scratch.save(different.join(main, "host").mapInArrow(vote, "host string, slot long, value long, page long").distinct(), "votes")
+    values = votes.groupBy("host", "slot", "value").agg(F.count("*").alias("n"))
+    pages_of = votes.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    few = values.groupBy("host", "slot").agg((F.sum("n") >= least * F.count("*")).alias("few"))
+    judged = values.where("n > 1").join(pages_of, ["host", "slot"]).join(few, ["host", "slot"]).join(main, "host")
+    often = (F.col("n") >= recurring * F.col("pages")) | (F.col("few") & (F.col("slot") != F.col("main")))
+    template = scratch.save(judged.where(often).select("host", "slot", "value"), "template")
+    texts_known = template.count()
+    wrappers = scratch.save(references.join(template.groupBy("host").agg(F.collect_list(F.struct("slot", "value")).alias("slots")), "host"), "wrappers")
+    scratch.drop("outlines", "different", "votes")
+    if texts_known <= known:
+        sent = spark.sparkContext.broadcast({r["host"]: (r["reference"], {(x["slot"], x["value"]) for x in r["slots"]}) for r in wrappers.toLocalIterator()})
+        read = read.withColumn("reference", F.lit(None).cast("string")).withColumn("slots", F.lit(None).cast("array<struct<slot:long,value:long>>"))
     else:
         sent, read = None, read.join(wrappers, "host", "left")
 
@@ -319,8 +378,8 @@ def extract(pages: DataFrame, scratch: Scratch, *, recurring: float = 0.5, least
             texts = []
             for source, host, reference, slots in zip(*(W.column_of(batch, c).to_pylist() for c in ("html", "host", "reference", "slots")), strict=True):
                 page = Page(source or "")
-                reference, slots = sent.value.get(host, (None, ())) if sent else (reference, set(slots or ()))
-                own = align(write_tree(page.tree()[0]), reference) if slots else ()
+                reference, slots = sent.value.get(host, (None, ())) if sent else (reference, {(x["slot"], x["value"]) for x in slots or ()})
+                own = slots_of(write_tree(page.tree()), reference) if slots else ()
                 texts.append(content(page, slots, own))
             yield pa.RecordBatch.from_arrays([W.column_of(batch, "page_id"), W.column_of(batch, "url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -41,3 +41,19 @@ def test_induction_drops_recurring_slots(spark, scratch):
         assert by[100] == want(100) and by[101] == "" and by[102] == ""
         assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert html.extract(df.limit(0), scratch).count() == 0
+
+
+def texts(spark, scratch, bodies):
+    rows = [(i, "http://host.net/x", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch).collect()}
+
+
+def story(i, n=3):
+    return [f"Story {i} part {k} says things that no other page of this host says." for k in range(n)]
+
+
+def test_mirrored_articles_stay(spark, scratch):
+    own = [story(min(i, 2)) for i in range(4)]
+    found = texts(spark, scratch, [f"<div class='x'><p>Advert {i}</p></div><div class='y'>" + "".join(f"<p>{p}</p>" for p in own[i]) + "</div>" for i in range(4)])
+    for i in range(4):
+        assert "\n".join(own[i]) in found[i]
