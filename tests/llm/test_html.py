@@ -57,3 +57,11 @@ def test_mirrored_articles_stay(spark, scratch):
     found = texts(spark, scratch, [f"<div class='x'><p>Advert {i}</p></div><div class='y'>" + "".join(f"<p>{p}</p>" for p in own[i]) + "</div>" for i in range(4)])
     for i in range(4):
         assert "\n".join(own[i]) in found[i]
+
+
+def test_blocks_of_all_layouts_are_template(spark, scratch):
+    """A constant paragraph beside the article's, and a constant block of the host's second layout."""
+    bodies = ["<div class='y'><p>Read on in our shop</p>" + "".join(f"<p>{p}</p>" for p in story(i)) + "</div>" for i in range(12)]
+    bodies += ["<table><tr><td><div class='z'><p>A note on every page here</p></div></td></tr></table><div class='w'>" + "".join(f"<p>{p}</p>" for p in story(i)) + "</div>" for i in range(12, 20)]
+    found = texts(spark, scratch, bodies)
+    assert all(found[i] == "\n".join(story(i)) for i in range(20))
