@@ -22,7 +22,7 @@ SAMPLE = 16
 #: Tokens that all lines of a template have in place and that are no fields: so many at least, and half of all tokens.
 CONSTANT = 3
 _FIELD = U(0x5F2A91C3D4E6B807)  # the hash of a variable field
-LINES = "doc_id long, line long, leaf long, masked long, sample binary"
+LINES = "doc_id long, line long, leaf long, masked long, sample binary, words int"
 
 
 def line_hash(line: bytes) -> int:
@@ -30,7 +30,7 @@ def line_hash(line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a word: its hash, its leaf, its masked hash and sampled tokens.
+    """A row for each line with a word: its hash, its leaf, its masked hash, sampled tokens and count of words.
 
     A token with a digit is a variable field. Leaves hold lines of one token count. A line of too few constant tokens
     for a template has its own hash for the masked one, and no leaf."""
@@ -68,7 +68,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bare = (constant < CONSTANT) | (2 * constant < n)
                 masked = np.where(bare, np.array(hashes, np.int64), masked)
                 doc = np.searchsorted(rows, cuts[:-1][full], "right") - 1 + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)])], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)]), pa.array(n, pa.int32())], names=names)
             at = to
 
 
@@ -136,8 +136,9 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
     return run
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike: float = 0.6, leaf: int = 1000) -> DataFrame:
-    """(line, first): hash of each line whose template occurs in `documents` documents or more, and the first of these.
+def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike: float = 0.6, leaf: int = 1000, words: int = 50, copies: int = 2) -> DataFrame:
+    """(line, first): hash of each line whose template occurs in `documents` documents or more, or which has `words` words
+    or more and itself occurs in `copies` documents or more, and the first of these.
 
     Lines are led to a leaf by their token count and two leading tokens, where a token with a digit
     is a variable field. Within a leaf a line joins the template that shares most of its sampled
@@ -153,24 +154,27 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     dealt = masked.where("leaf is not null").select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
     joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
-    known = lines.select("doc_id", "line", "masked").join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"))
+    known = lines.select("doc_id", "line", "masked", (F.col("words") >= words).alias("long")).join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"), "long")
     known = scratch.save(known.distinct(), "known")
     often = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= documents)
-    found = scratch.save(known.join(often, "template").groupBy("line").agg(F.min("first").alias("first")), "found")
+    equal = known.where("long").select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= copies)
+    both = known.join(often, "template").select("line", "first").union(equal.select("line", "first"))
+    found = scratch.save(both.groupBy("line").agg(F.min("first").alias("first")), "found")
     scratch.drop("lines", "joined")
     return found
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike: float = 0.6, leaf: int = 1000, known: int = 1 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike: float = 0.6, leaf: int = 1000, words: int = 50, copies: int = 2, known: int = 1 << 20) -> DataFrame:
     """The columns of docs, with recurring lines gone from text, then n_lines and n_dropped.
 
-    A line whose template occurs in `documents` documents or more stays in the first of these (by
+    A line whose template occurs in `documents` documents or more, or a line of `words` words or more that is in
+    `copies` documents or more, stays in the first of these (by
     doc_id) and is dropped from all others. Up to `known` recurring lines are sent to the
     scan that rewrites texts; more are joined by document. Null texts stay null, lines without a word stay; rows with a null
     doc_id are returned as they are and count for nothing; rows with equal ids count as one
     document. A document may end up empty. Own columns named n_lines or n_dropped are replaced.
     """
-    found = recurring_lines(docs, scratch, documents=documents, alike=alike, leaf=leaf)
+    found = recurring_lines(docs, scratch, documents=documents, alike=alike, leaf=leaf, words=words, copies=copies)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*rest)
     if found.count() <= known:

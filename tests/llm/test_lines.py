@@ -57,6 +57,14 @@ def test_lines_without_constants_stay(spark, scratch):
     assert all(found[i] == t.replace("17 18 19\n", "") for i, t, *_ in rows[1:])
 
 
+def test_long_lines_recur_in_two_documents(spark, scratch):
+    long, short = " ".join(names(50)), " ".join(names(49))
+    rows = [(i, f"own text {names(9)[i]}\n{long}\n{short}" if i in (3, 7) else f"own text {names(9)[i]}", "en", "a") for i in range(9)]
+    for known in (1 << 20, 0):
+        found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, rows), scratch, known=known).collect()}
+        assert found == {i: t.replace(f"\n{long}", "") if i == 7 else t for i, t, *_ in rows}
+
+
 def test_looked_up_templates_are_those_compared():
     import numpy as np
     import pyarrow as pa
