@@ -105,7 +105,8 @@ def fingerprints(docs: DataFrame, *, k: int = 128, ranges: int | None = None) ->
     copy of the first document of the next range at its end; a task walks its ranges in order.
 
     Null texts count as empty; two empty ones have likeness 1, an empty and another 0. Rows with equal
-    ids follow each other in the order of a hash of the text, null ids come first. A table of one row is its
+    ids follow each other in the order of a hash of the text, null ids come first, dealt out by
+    the same hash. A table of one row is its
     own next document, an empty table gives no rows. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
@@ -114,32 +115,34 @@ def fingerprints(docs: DataFrame, *, k: int = 128, ranges: int | None = None) ->
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = ranges or 3 * parts
     found = [] if n < 2 else read.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
-    bounds = np.unique(np.array(found, np.int64))
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right") + 1
-        return pd.Series(np.where(ids.isna(), 0, own)).astype("int32")
-
-    firsts = sorted((r["r"], r["least"]) for r in read.select("doc_id", place("doc_id").alias("r")).groupBy("r").agg(F.min("doc_id").alias("least")).collect())  # a row for each range
-    order = {r: i for i, (r, _) in enumerate(firsts)}
-    least = {x for _, x in firsts if x is not None}
-    lows = np.array(sorted(least), np.int64)
-    at = np.full(len(bounds) + 2, 0, np.int64)
-    for r, i in order.items():
-        at[r] = i
-    has_null = any(x is None for _, x in firsts)
+    bounds = np.unique([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in found]).astype(np.int64)
+    hashed = 1 << max(n - 1, 0).bit_length()  # ranges of null ids, by the hash of the text
+
+    def ranged(ids: pd.Series, lost: pd.Series, hashes: pd.Series) -> np.ndarray:
+        own = np.searchsorted(bounds, ids.to_numpy(np.int64), "right") + hashed
+        part = ((hashes.to_numpy(np.int64) >> 32) + (1 << 31)) * hashed >> 32
+        return np.where(lost.to_numpy(bool), part, own)
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series, lost: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranged(ids, lost, hashes))
+
+    # Ids and hashes reach Python without nulls, as those would turn them into floats.
+    keys = [F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.xxhash64("text")]
+    firsts = read.select(place(*keys).alias("r"), F.when(F.isnull("doc_id"), F.xxhash64("text")).otherwise(F.col("doc_id")).alias("least")).groupBy("r").agg(F.min("least").alias("least")).collect()  # a row for each range
+    firsts = sorted((r["r"], r["least"]) for r in firsts)
+    at, least = np.zeros(hashed + len(bounds) + 1, np.int64), np.zeros(hashed + len(bounds) + 1, np.int64)
+    for i, (r, x) in enumerate(firsts):
+        at[r], least[r] = i, x
 
     @F.pandas_udf("long")
-    def deal(ids: pd.Series) -> pd.Series:
+    def deal(ids: pd.Series, lost: pd.Series, hashes: pd.Series) -> pd.Series:
         """Twice the range's number, and 1 for a range's first id."""
-        own = ids.fillna(0).to_numpy(np.int64)
-        lost = ids.isna().to_numpy()
-        r = np.where(lost, 0, np.searchsorted(bounds, own, "right") + 1)
-        return pd.Series(2 * at[r] + np.where(lost, has_null, np.isin(own, lows)))
+        r = ranged(ids, lost, hashes)
+        return pd.Series(2 * at[r] + (np.where(lost, hashes, ids).astype(np.int64) == least[r]))
 
     last = max(len(firsts) - 1, 0)
-    code = read.withColumn("code", deal("doc_id")).withColumn("r", F.col("code").bitwiseAND(F.lit(-2)) / 2)
+    code = read.withColumn("code", deal(*keys)).withColumn("r", F.col("code").bitwiseAND(F.lit(-2)) / 2)
     own = F.struct(F.col("r").cast("int").alias("r"), F.lit(0).alias("tail"))
     copy = F.struct(F.when(F.col("r") == 0, last).otherwise(F.col("r") - 1).cast("int").alias("r"), F.lit(1).alias("tail"))
     dealt = code.select("doc_id", "text", F.explode(F.when(F.col("code") % 2 == 1, F.array(own, copy)).otherwise(F.array(own))).alias("p")).select("doc_id", "text", "p.r", "p.tail")

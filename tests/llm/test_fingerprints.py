@@ -52,3 +52,15 @@ def test_edges(spark):
     assert fp.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fp.fingerprints(spark.createDataFrame([(1, "alone")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_null_ids_beside_large_ones(spark):
+    """Ids above 2^53, one null id or many: no row is lost and each edited text is right, over any ranges."""
+    big = [((1 << 53) + 3 * i + 1, f"text {i} " * (i % 7)) for i in range(400)] + [((1 << 63) - 1, "the last"), (-(1 << 63), "the first")]
+    for rows in ([*big, (None, "no id")], [(None, f"none {i}") for i in range(50)] + big[:50]):
+        lost = sorted((t for i, t in rows if i is None), key=lambda t: spark.sql(f"select xxhash64('{t}')").first()[0])
+        order = lost + [t for _, t in sorted(r for r in rows if r[0] is not None)]
+        want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(n + 1) % len(order)][: len(t) // 2]).encode()).hexdigest() for n, t in enumerate(order))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        for ranges in (1, 4, 50):
+            assert sorted(r["edited_sha256"] for r in fp.fingerprints(df, ranges=ranges).collect()) == want
