@@ -27,3 +27,37 @@ def test_edges(spark):
     assert language.identify(docs.limit(0), F.lit(True), keep=["doc_id"]).count() == 0
     one = language.identify(docs, F.col("lang") == "fr", keep=["doc_id"])
     assert {r["lang_pred"] for r in one.collect()} == {"und", "fr"}
+
+
+def test_letters_are_the_categories_l():
+    assert [language.letters(x) for x in ("½ ² ①", "Ⅳ", "१२ _ ٣", "", None)] == [""] * 5
+    assert language.letters("Été ½ 中文2x") == " été 中文 x "
+
+
+def test_every_language_is_learned(spark):
+    """70 languages of invented words, one of them with long texts alone."""
+    import random
+
+    rng = random.Random(1)
+    vocabularies = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(150)] for _ in range(70)]
+    rows = [(70 * k + i, " ".join(rng.choices(own, k=20_000 if i == 69 else 120)), f"l{i}", "a") for k in range(8) for i, own in enumerate(vocabularies)]
+    docs = documents(spark, rows).withColumn("siltbed_text", F.lit("own"))
+    found = language.identify(docs, F.col("doc_id") < 420, keep=["doc_id", "lang", "siltbed_text"]).where("doc_id >= 420").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) >= 0.98 * len(found)
+    assert all(r["lang_pred"] == "l69" for r in found if r["lang"] == "l69")
+
+
+def test_ties_are_rejected():
+    name = language.Classifier({"a": b" one two three " * 20, "b": b" one two three " * 20})
+    assert name("one two three") == ("a", 0.0)
+
+
+def test_a_few_words(spark):
+    """Four words tell apart languages that share their letters."""
+    import random
+
+    rng = random.Random(2)
+    vocabularies = {k: ["".join(rng.choices("aeiou" + letters, k=rng.randrange(3, 9))) for _ in range(300)] for k, letters in (("a", "bcdfg"), ("b", "hklmn"), ("c", "prstv"))}
+    name = language.Classifier({k: (" " + " ".join(rng.choices(own, k=8000)) + " ").encode() for k, own in vocabularies.items()})
+    found = [name(" ".join(rng.choices(own, k=4)))[0] == k for k, own in vocabularies.items() for _ in range(100)]
+    assert sum(found) >= 0.98 * len(found)
