@@ -118,7 +118,7 @@ def anomaly(forest: list[tuple], rows: np.ndarray, sample: int, depth: int) -> n
 def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, fit_rows: int = 8192, trees: int = 64, sample: int = 256, depth: int = 14, clean_kept: float = 0.995, seed: int = 7) -> DataFrame:
     """doc_id, counts, base_failed, score, kept of every document.
 
-    The forest is fitted on at most fit_rows labelled rows (those with the smallest hash of doc_id).
+    The forest is fitted on about fit_rows labelled rows (those with a hash under a threshold), or all if there are fewer.
     The threshold comes from the scores of all labelled rows: of those that keep the share clean_kept
     of quality 1, the one with the best mean of kept clean and dropped junk. kept is false where the
     basic rules fail (under 50 words; more than half of the words in repeated 3-word windows) or the
@@ -130,7 +130,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, fit_r
     stats = scratch.save(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(statistics, STATS), "stats")
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
     marked = stats.join(marks, stats.doc_id == marks._id).where(F.col("n_words") > 0)
-    rows = marked.select(*RATES, "_quality", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id", *RATES).limit(fit_rows).toPandas()
+    # About fit_rows rows by a hash threshold, so that no task gathers a sample of every other one.
+    drawn = F.xxhash64("doc_id", *RATES, F.lit(seed))
+    share = min(1.0, fit_rows / max(marked.count(), 1))
+    rows = marked.where(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30))).select(*RATES, "_quality", drawn.alias("_h"), "doc_id").toPandas().sort_values(["_h", "doc_id", *RATES], ignore_index=True)
     every, good = rows[RATES].to_numpy(float), rows["_quality"].to_numpy() == 1
     forest = fit_forest(every[good], every, trees, sample, depth, seed) if good.any() and not good.all() else []
 
