@@ -15,6 +15,10 @@ from .scratch import Scratch, set_batches
 
 U = np.uint64
 PARTS = 64
+#: Odd factors; the smallest product of a set's shingles with each is its sketch.
+SKETCH = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Shingles that the sets of a cell have together, about.
+CELL = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -31,11 +35,11 @@ def _first(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def frequent(docs: DataFrame, size: int, over: int, share: float, most: int) -> np.ndarray:
+def frequent(docs: DataFrame, scratch: Scratch, size: int, over: int, share: float, most: int) -> np.ndarray:
     """Upper halves, sorted, of shingles that occur among the first `share` of over `over` documents.
 
-    The set only fixes the order of shingles, so the join is right with any set; at most `most` (the
-    most frequent) are taken, 4 bytes each, which bounds what is sent to the executors.
+    The set only fixes the order of shingles, so the join is right with any set; at most `most`, those
+    above some frequency, are taken, 4 bytes each, which bounds what is sent to the executors.
     """
     session = docs.sparkSession
     n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -58,8 +62,16 @@ def frequent(docs: DataFrame, size: int, over: int, share: float, most: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["key", "n"])
 
     dealt = docs.mapInArrow(emit, "part int, keys binary").where("length(keys) > 0").repartition(n, "part")
-    rows = dealt.mapInArrow(count, "key long, n long").orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
-    return np.sort(rows["key"].to_numpy().astype(np.uint32))
+    rows = scratch.save(dealt.mapInArrow(count, "key long, n long"), "frequent")
+    level = F.floor(F.log2("n") * 64).cast("int")
+    counts = rows.groupBy(level.alias("level")).count().collect()  # a few hundred rows
+    least, total = 0, 0
+    for level_, n_ in sorted(((r["level"], r["count"]) for r in counts), reverse=True):
+        total += n_
+        if total > most:
+            least = level_ + 1
+            break
+    return np.sort(rows.where(level >= least).select("key").toArrow()["key"].to_numpy().astype(np.uint32))
 
 
 def _bar(n: np.ndarray | int, m: np.ndarray | int, percent: int):  # noqa: ANN202
@@ -73,14 +85,15 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     1. Shingles are ordered by (frequent, hash), see frequent(). A set's prefix is its first
        n - ceil(percent n / 100) + 1 shingles; sets that link share one within their prefixes.
     2. Documents with one size and prefix form a group; only a group's leader is joined.
-    3. Leaders that share a prefix shingle that isn't frequent (`over` leaders at most) are candidate
-       pairs, if sizes allow. A frequent shingle makes no pairs: leaders joined through frequent
-       prefix shingles form a pool, and a pool is verified in cells of about `cell` sets of one
-       size band, each against the cells of its own and the next band.
-    4. Groups are expanded to their different sets. Pairs whose counts of shingles by 64 parts
-       differ too much can't link and go; the others, and pools, are verified on whole sets,
-       which are made anew for just those documents.
-    A cell returns a spanning forest of its links, so no output grows with the square of a group.
+    3. Leaders that share a prefix shingle that isn't frequent are candidate pairs, if sizes allow. A shingle of
+       more than 4 * over leaders makes no pairs but a list, and so do frequent prefix shingles and groups of over `over` sets.
+    4. Pairs whose counts of shingles by 64 parts differ too much can't link and go; the others are verified on
+       whole sets, which are made anew for just those documents.
+    5. Sets of lists that agree in a minimum hash meet in cells of `cell` sets at most (fewer, if sets are large), which return
+       a spanning forest of their links: a row for each set and hash, so copies of a text with very many variants cost linear work.
+    6. What a list has in one component by then needs no further pair. Of a list that has several, the sets
+       outside of its largest component meet each other and that one in cells of one size band and the next, and pairs
+       of different components that the counts allow are verified. So no link is lost.
 
     Rows without words have 0 shingles, link with nothing and are their own component; so are rows
     with a null doc_id (component null). Rows with equal ids are one node. n_links counts the verified
@@ -88,12 +101,12 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     """
     set_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    spread = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, over, 0.3, most))
+    spread = docs.sparkSession.sparkContext.broadcast(frequent(docs, scratch, size, over, 0.3, most))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = spread.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for _, own in _sets(batch, size):
                 n = len(own)
                 top = (own >> U(32)).astype(np.uint32)
@@ -104,12 +117,13 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
                 rest = own[hot][: m - len(rare)]
                 counts = np.minimum(np.bincount((own & U(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
                 key = W.signature(rare) + W.signature(rest) if n else b""
-                for values, x in zip(out, (n, W.signature(own), counts.tobytes(), key, rare.tobytes(), rest.tobytes()), strict=True):
+                sketch = [int((own * x).min().view(np.int64)) for x in SKETCH] if n else []
+                for values, x in zip(out, (n, W.signature(own), counts.tobytes(), key, rare.tobytes(), rest.tobytes(), sketch), strict=True):
                     values.append(x)
-            yield pa.RecordBatch.from_arrays([W.column_of(batch, "doc_id"), pa.array(out[0], pa.int64()), *(W.binary(x) for x in out[1:])], names=names)
+            yield pa.RecordBatch.from_arrays([W.column_of(batch, "doc_id"), pa.array(out[0], pa.int64()), *(W.binary(x) for x in out[1:6]), pa.array(out[6], pa.list_(pa.int64()))], names=names)
 
-    names = ["doc_id", "n", "sig", "parts", "key", "rare", "often"]
-    base = scratch.save(docs.mapInArrow(prefixes, "doc_id long, n long, sig binary, parts binary, key binary, rare binary, often binary"), "base")
+    names = ["doc_id", "n", "sig", "parts", "key", "rare", "often", "sketch"]
+    base = scratch.save(docs.mapInArrow(prefixes, "doc_id long, n long, sig binary, parts binary, key binary, rare binary, often binary, sketch array<long>"), "base")
     full = base.where("n > 0 and doc_id is not null")
     # Members: the different sets of each group, by their smallest document.
     members = full.groupBy("n", "key", "sig").agg(F.min("doc_id").alias("rep"))
@@ -128,7 +142,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of leaders that share a shingle. A list longer than 4 * over comes out as links to its first leader with kind 1, for a pool."""
+        """Pairs (kind 0) of leaders that share a shingle. A list longer than 4 * over comes out as it is: shingle and leader (kind 1)."""
         held = pa.Table.from_batches([b for b in batches if len(b)] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32())], names=["s", "gid", "n"])])
         s, gid, n = (held[c].to_numpy() for c in ("s", "gid", "n"))
         order = np.lexsort((gid, n, s))
@@ -138,8 +152,10 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
         length = np.diff(np.concatenate([begin, [len(s)]]))
         first = np.repeat(begin, length)
         long = np.repeat(length > 4 * over, length)
-        a, b = [gid[first][long]], [gid[long]]
-        kind = [np.ones(int(long.sum()), np.int8)]
+        for i in range(0, len(s), 1 << 16):
+            own = long[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][own]) for x in (s, gid, long.astype(np.int8))], names=["a", "b", "kind"])
+        a, b, kind = [gid[:0]], [gid[:0]], [np.zeros(0, np.int8)]
         for step in range(1, int(min(length.max(initial=1), 4 * over))):
             i = np.flatnonzero((first[step:] == first[:-step]) & ~long[step:])
             i = i[100 * n[i].astype(np.int64) >= percent * n[i + step].astype(np.int64)]
@@ -156,18 +172,18 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][own]) for x in (a, b, kind)], names=["a", "b", "kind"])
 
     listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition(parts, "s")
-    found = scratch.save(listed.mapInArrow(pair_up, "a long, b long, kind byte").distinct(), "found")
+    found = scratch.save(listed.mapInArrow(pair_up, "a long, b long, kind byte"), "found")
     # Candidate pairs of groups, and pairs inside small groups, as pairs of members with a filter on counts.
     who = members.select("gid", "rep", "n", "sig", "sets")
-    sides = base.select("doc_id", "sig", "parts").dropDuplicates(["doc_id", "sig"])
-    who = who.join(sides.withColumnRenamed("doc_id", "rep"), ["rep", "sig"]).select("gid", "rep", "n", "parts", "sets")
+    sides = base.select("doc_id", "sig", "parts", "sketch").dropDuplicates(["doc_id", "sig"])
+    who = who.join(sides.withColumnRenamed("doc_id", "rep"), ["rep", "sig"]).select("gid", "rep", "n", "parts", "sketch", "sets")
     who = scratch.save(who, "who")
     left = who.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("parts").alias("xp"))
     right = who.select(F.col("gid").alias("b"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("parts").alias("yp"))
     small = who.where(f"sets > 1 and sets <= {over}")
     inside = small.select(F.col("gid").alias("a"), F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("parts").alias("xp"))
     inside = inside.join(small.select(F.col("gid").alias("a"), F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("parts").alias("yp")), "a").where("x < y").drop("a")
-    across = found.where("kind = 0 and a != b").select("a", "b").join(left, "a").join(right, "b").select("x", "xn", "xp", "y", "yn", "yp")
+    across = found.where("kind = 0 and a != b").select("a", "b").distinct().join(left, "a").join(right, "b").select("x", "xn", "xp", "y", "yn", "yp")
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,43 +195,36 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             yield pa.RecordBatch.from_arrays([pa.array(W.column_of(batch, c).to_numpy()[fits]) for c in ("x", "y")], names=["x", "y"])
 
     pairs = scratch.save(inside.unionByName(across).mapInArrow(sieve, "x long, y long"), "pairs")
-    # Pools: leaders joined through frequent shingles, large groups, and lists that turned out long.
+    # Lists: long ones of shingles, large groups, and frequent shingles.
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links leader - first frequent shingle, and between a prefix's neighbouring ones. Shingles are negative nodes."""
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for gid, keys in zip(W.column_of(batch, "gid").to_pylist(), W.column_of(batch, "often").to_pylist(), strict=True):
-                nodes = -1 - (np.frombuffer(keys, U) >> U(1)).astype(np.int64)
-                a += [np.array([gid]), nodes[1:]]
-                b += [nodes[:1], nodes[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], names=["a", "b"])
-
-    hot = leaders.where("length(often) > 0").select("gid", "often").mapInArrow(chains, "a long, b long").distinct()
-    hot = hot.union(found.where("kind = 1 and a != b").select("a", "b"))
-    pool = components(hot, scratch, "pool").where("node >= 0")
-    pooled = who.join(pool, who.gid == pool.node, "left").where(f"root is not null or sets > {over}").select(F.coalesce("root", "gid").alias("pool"), "rep", "n", "parts")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    pooled = scratch.save(pooled.select("pool", "rep", "n", "parts", band.alias("band")), "pooled")
-    bands = pooled.groupBy("pool", "band").agg(F.count("*").alias("sets"))
-    after = bands.select("pool", (F.col("band") - 1).alias("band"), F.col("sets").alias("more"))
-    before = bands.select("pool", (F.col("band") + 1).alias("band"), F.col("sets").alias("less"))
-    bands = bands.join(after, ["pool", "band"], "left").join(before, ["pool", "band"], "left").fillna(0, ["more", "less"]).where("sets + more + less > 1")
-    cells = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / cell)).cast("int")
-    bands = bands.select("pool", "band", *(F.when(F.col(c) > 0, cells(c)).otherwise(0).alias(c) for c in ("sets", "more", "less")))
-    pooled = pooled.join(bands, ["pool", "band"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("sets")).cast("int"))
-    # A cell meets each cell of its band once, and each of the next band.
-    own = F.transform(F.sequence(F.lit(0), F.col("sets") - 1), lambda t: F.struct(F.col("band").alias("band"), F.least(t, F.col("salt")).alias("i"), F.lit(0).alias("up"), F.greatest(t, F.col("salt")).alias("j")))
-    up = F.when(F.col("more") > 0, F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda t: F.struct(F.col("band").alias("band"), F.col("salt").alias("i"), F.lit(1).alias("up"), t.alias("j")))).otherwise(F.array().cast("array<struct<band:int,i:int,up:int,j:int>>"))
-    down = F.when(F.col("less") > 0, F.transform(F.sequence(F.lit(0), F.col("less") - 1), lambda t: F.struct((F.col("band") - 1).alias("band"), t.alias("i"), F.lit(1).alias("up"), F.col("salt").alias("j")))).otherwise(F.array().cast("array<struct<band:int,i:int,up:int,j:int>>"))
-    meets = pooled.select("pool", "rep", "n", "parts", F.explode(F.concat(own, up, down)).alias("m")).select(F.concat_ws(":", "pool", "m.band", "m.i", "m.up", "m.j").alias("cell"), "rep", "n", "parts")
-    meets = scratch.save(meets.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "cell string, rep long"), "meets")
-    needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(meets.select("rep")).toDF("id").distinct(), "needed")
+            keys = [np.frombuffer(x, np.int64) for x in W.column_of(batch, "often").to_pylist()]
+            gids = np.repeat(W.column_of(batch, "gid").to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(gids, pa.int64())], names=["s", "gid"])
+
+    lists = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("gid"))
+    lists = lists.union(leaders.where("length(often) > 0").select("gid", "often").mapInArrow(spelled, "s long, gid long"))
+    lists = scratch.save(lists.union(members.where(f"rep = gid and sets > {over}").select(F.xxhash64(F.lit("group"), "gid"), "gid")).distinct(), "lists")
+    listed = scratch.save(who.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "rep", "n", "parts", "sketch"), "listed")
+    near = listed.select("rep", "n", F.posexplode("sketch").alias("k", "value"))
+    # The key is written as a sum, so that the large side is dealt out anew and hot keys can be split.
+    common = near.groupBy("k", "value").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
+    common = common.select("k", (F.col("value") + F.lit(0)).alias("value"), F.greatest(F.ceil(F.col("sets") / cell), F.ceil(F.col("all") / CELL)).alias("cells"))
+    cells = F.concat_ws(":", "k", "value", F.pmod(F.xxhash64("rep", "k"), F.col("cells")).cast("string"))
+    near = scratch.save(near.join(common, ["k", "value"]).select(cells.alias("cell"), "rep"), "near")
+    needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(listed.select("rep")).toDF("id").distinct(), "needed")
     sets = scratch.save(_whole_sets(docs, needed, size, known), "sets")
     verified = _verify_pairs(pairs, sets, percent)
-    verified = verified.union(meets.join(sets, meets.rep == sets.id).select("cell", "rep", "values").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
+    verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
     verified = scratch.save(verified.distinct(), "links")
-    scratch.drop("found", "leaders", "who", "sets", "pooled")
+    known_ = components(verified, scratch, "near")
+    mixed = scratch.save(_mixed(lists, listed, known_, percent), "mixed")
+    if not mixed.isEmpty():
+        meets = _meets(mixed, 4 * cell).join(listed.select("rep", "parts"), "rep")
+        more = meets.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
+        verified = scratch.save(verified.union(_verify_pairs(scratch.save(more, "more"), sets, percent)).distinct(), "all_links")
+    scratch.drop("found", "leaders", "who", "sets", "listed", "lists", "near", "mixed", "frequent")
     joined = members.select("n", "sig", "rep").where("n > 0")
     # A row's node is its id; rows of one id or one set are one node.
     ties = full.select("doc_id", "n", "sig").join(joined, ["n", "sig"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -279,16 +288,61 @@ def _by_cell(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
         yield held
 
 
+def _mixed(lists: DataFrame, listed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """s, rep, n, comp, band, out of lists that have sets of several components; out: not of the list's largest one."""
+    rows = lists.join(listed.select("gid", "rep", "n"), "gid").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    several = rows.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select((F.col("s") + F.lit(0)).alias("s"))
+    rows = rows.join(several, "s")
+    most = rows.groupBy("s", "comp").agg(F.count("*").alias("sets")).groupBy("s").agg(F.max(F.struct("sets", "comp")).alias("m")).select((F.col("s") + F.lit(0)).alias("s"), F.col("m.comp").alias("most"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    return rows.join(most, "s").select("s", "rep", "n", "comp", band.alias("band"), (F.col("comp") != F.col("most")).alias("out"))
+
+
+def _meets(mixed: DataFrame, cell: int) -> DataFrame:
+    """cell, rep, n, comp, out: sets that are `out` meet those of their list, of their band and the next ones, in cells of about 2 * cell."""
+    count = lambda what: F.ceil(F.count(F.when(what, 1)) / cell).cast("int")
+    bands = mixed.groupBy("s", "band").agg(count(F.col("out")).alias("o"), count(~F.col("out")).alias("d"))
+    beside = {"": 0, "_up": 1, "_down": -1}
+    sizes = None
+    for name, step in beside.items():
+        own = bands.select((F.col("s") + F.lit(0)).alias("s"), (F.col("band") - step).alias("band"), *(F.col(c).alias(c + name) for c in ("o", "d")))
+        sizes = own if sizes is None else sizes.join(own, ["s", "band"], "left")
+    sizes = sizes.fillna(0)
+    rows = mixed.join(sizes, ["s", "band"])
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("out"), F.col("o")).otherwise(F.col("d")))).cast("int"))
+    salt = F.col("salt")
+
+    def grid(kind: str, band, n: str, first, second):  # noqa: ANN001, ANN202
+        """The names of cells of `kind`, one for each of n salts on the other side."""
+        steps = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda t: F.concat_ws(":", F.lit(kind), F.col("s"), band, first(t), second(t)))
+
+    band, mine, other = F.col("band"), lambda t: salt, lambda t: t
+    outside = [
+        grid("oo", band, "o", lambda t: F.least(t, salt), lambda t: F.greatest(t, salt)),
+        grid("up", band, "o_up", mine, other),
+        grid("up", band - 1, "o_down", other, mine),
+        grid("od", band, "d", mine, other),
+        grid("od_up", band, "d_up", mine, other),
+        grid("od_down", band, "d_down", mine, other),
+    ]
+    inside = [grid("od", band, "o", other, mine), grid("od_up", band - 1, "o_down", other, mine), grid("od_down", band + 1, "o_up", other, mine)]
+    names = F.when(F.col("out"), F.concat(*outside)).otherwise(F.concat(*inside))
+    return rows.select(F.explode(names).alias("cell"), "rep", "n", "comp", "out")
+
+
 def _sieve_cells(percent: int):  # noqa: ANN202
-    """Rows (cell, rep, n, parts) become (cell, rep) of those that some other one of the cell may link with."""
+    """Rows (cell, rep, n, comp, out, parts) become pairs (x, y) of different components, one of them out, that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_cell(batches, ["rep", "n", "parts"]):
-            n = np.array([r[2] for r in rows], np.int64)
-            counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, PARTS).astype(np.int16)
-            fits = [int((np.abs(counts - counts[i]).sum(axis=1) <= _bar(n, n[i], percent)).sum()) > 1 for i in range(len(rows))]
-            kept = [r for r, fit in zip(rows, fits, strict=True) if fit]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in kept], pa.string()), pa.array([r[1] for r in kept], pa.int64())], names=["cell", "rep"])
+        for rows in _by_cell(batches, ["rep", "n", "comp", "out", "parts"]):
+            rep, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, PARTS).astype(np.int16)
+            for i in np.flatnonzero([r[4] for r in rows]):
+                some = np.flatnonzero(comp != comp[i])
+                some = some[np.abs(counts[some] - counts[i]).sum(axis=1) <= _bar(n[some], n[i], percent)]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[some], rep[i])), pa.array(np.maximum(rep[some], rep[i]))], names=["x", "y"])
 
     return run
 

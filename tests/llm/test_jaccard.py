@@ -80,3 +80,29 @@ def test_edges(spark, scratch):
     assert all(by[i]["n_shingles"] == 0 and by[i]["component_id"] == i for i in (1, 2, 3))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_documents(empty, scratch).count() == 0
+
+
+def test_lists_of_several_components(spark, scratch):
+    """Cells of two sets leave most links to the meetings of components within lists."""
+    check(spark, scratch, copies(7, 60, 3, 60, 7), over=4, cell=2)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(50)]
+    rows = [(i, " ".join(shared + [str(rng.randrange(10**6)) for _ in range(i % 13)])) for i in range(200)]
+    check(spark, scratch, rows, over=4, cell=4)
+
+
+def test_work_on_a_large_group_is_linear(spark):
+    """Rows that meet in cells, for 500 and 2,000 near copies of one text."""
+    from siltbed.llm.scratch import Scratch
+
+    made = []
+    for n in (500, 2000):
+        kept = Scratch(spark, "linear")
+        drop, kept.drop = kept.drop, lambda *names: None
+        rows = copies(9, 100, 1, n, 2)
+        found = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), kept, size=4, percent=80)
+        assert found.where("component_id = 0").count() >= 0.99 * n
+        read = lambda name: spark.read.parquet(f"{kept.root}/{name}")  # noqa: B023, E731
+        made.append(read("near").count() + (read("more").count() if not read("mixed").isEmpty() else 0))
+        drop("near", "more", "mixed")
+    assert made[1] <= 5 * made[0]
