@@ -91,9 +91,9 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
        whole sets, which are made anew for just those documents.
     5. Sets of lists that agree in a minimum hash meet in cells of `cell` sets at most (fewer, if sets are large), which return
        a spanning forest of their links: a row for each set and hash, so copies of a text with very many variants cost linear work.
-    6. What a list has in one component by then needs no further pair. Of a list that has several, the sets
-       outside of its largest component meet each other and that one in cells of one size band and the next, and pairs
-       of different components that the counts allow are verified. So no link is lost.
+    6. What a list has in one component by then needs no further pair. Lists that have several are joined to
+       pools; a pool's sets outside of its largest component meet each other and that one in cells of one size band and
+       the next, and pairs of different components that the counts allow are verified. So no link is lost.
 
     Rows without words have 0 shingles, link with nothing and are their own component; so are rows
     with a null doc_id (component null). Rows with equal ids are one node. n_links counts the verified
@@ -219,12 +219,12 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
     verified = scratch.save(verified.distinct(), "links")
     known_ = components(verified, scratch, "near")
-    mixed = scratch.save(_mixed(lists, listed, known_, percent), "mixed")
-    if not mixed.isEmpty():
+    mixed = _mixed(lists, listed, known_, scratch, percent)
+    if mixed is not None:
         meets = _meets(mixed, 4 * cell).join(listed.select("rep", "parts"), "rep")
         more = meets.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
         verified = scratch.save(verified.union(_verify_pairs(scratch.save(more, "more"), sets, percent)).distinct(), "all_links")
-    scratch.drop("found", "leaders", "who", "sets", "listed", "lists", "near", "mixed", "frequent")
+    scratch.drop("found", "leaders", "who", "sets", "listed", "lists", "near", "several", "mixed", "more", "frequent")
     joined = members.select("n", "sig", "rep").where("n > 0")
     # A row's node is its id; rows of one id or one set are one node.
     ties = full.select("doc_id", "n", "sig").join(joined, ["n", "sig"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -288,34 +288,40 @@ def _by_cell(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
         yield held
 
 
-def _mixed(lists: DataFrame, listed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """s, rep, n, comp, band, out of lists that have sets of several components; out: not of the list's largest one."""
+def _mixed(lists: DataFrame, listed: DataFrame, known: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """pool, rep, n, comp, band, out of lists that have sets of several components; out: not of the pool's largest one.
+
+    A pool is what such lists join, so that sets which share many of them meet once."""
     rows = lists.join(listed.select("gid", "rep", "n"), "gid").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("s", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-    several = rows.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select((F.col("s") + F.lit(0)).alias("s"))
-    rows = rows.join(several, "s")
-    most = rows.groupBy("s", "comp").agg(F.count("*").alias("sets")).groupBy("s").agg(F.max(F.struct("sets", "comp")).alias("m")).select((F.col("s") + F.lit(0)).alias("s"), F.col("m.comp").alias("most"))
+    several = rows.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("rep").alias("first")).where("low != high").select((F.col("s") + F.lit(0)).alias("s"), "first")
+    rows = scratch.save(rows.join(several, "s").select("rep", "n", "comp", "first").distinct(), "several")
+    if rows.isEmpty():
+        return None
+    pool = components(rows.select(F.col("first").alias("a"), F.col("rep").alias("b")), scratch, "pool")
+    rows = rows.select("rep", "n", "comp").distinct().join(pool.select(F.col("node").alias("rep"), F.col("root").alias("pool")), "rep")
+    most = rows.groupBy("pool", "comp").agg(F.count("*").alias("sets")).groupBy("pool").agg(F.max(F.struct("sets", "comp")).alias("m")).select((F.col("pool") + F.lit(0)).alias("pool"), F.col("m.comp").alias("most"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    return rows.join(most, "s").select("s", "rep", "n", "comp", band.alias("band"), (F.col("comp") != F.col("most")).alias("out"))
+    return scratch.save(rows.join(most, "pool").select("pool", "rep", "n", "comp", band.alias("band"), (F.col("comp") != F.col("most")).alias("out")), "mixed")
 
 
 def _meets(mixed: DataFrame, cell: int) -> DataFrame:
-    """cell, rep, n, comp, out: sets that are `out` meet those of their list, of their band and the next ones, in cells of about 2 * cell."""
+    """cell, rep, n, comp, out: sets that are `out` meet those of their pool, of their band and the next ones, in cells of about 2 * cell."""
     count = lambda what: F.ceil(F.count(F.when(what, 1)) / cell).cast("int")
-    bands = mixed.groupBy("s", "band").agg(count(F.col("out")).alias("o"), count(~F.col("out")).alias("d"))
+    bands = mixed.groupBy("pool", "band").agg(count(F.col("out")).alias("o"), count(~F.col("out")).alias("d"))
     beside = {"": 0, "_up": 1, "_down": -1}
     sizes = None
     for name, step in beside.items():
-        own = bands.select((F.col("s") + F.lit(0)).alias("s"), (F.col("band") - step).alias("band"), *(F.col(c).alias(c + name) for c in ("o", "d")))
-        sizes = own if sizes is None else sizes.join(own, ["s", "band"], "left")
+        own = bands.select((F.col("pool") + F.lit(0)).alias("pool"), (F.col("band") - step).alias("band"), *(F.col(c).alias(c + name) for c in ("o", "d")))
+        sizes = own if sizes is None else sizes.join(own, ["pool", "band"], "left")
     sizes = sizes.fillna(0)
-    rows = mixed.join(sizes, ["s", "band"])
+    rows = mixed.join(sizes, ["pool", "band"])
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("out"), F.col("o")).otherwise(F.col("d")))).cast("int"))
     salt = F.col("salt")
 
     def grid(kind: str, band, n: str, first, second):  # noqa: ANN001, ANN202
         """The names of cells of `kind`, one for each of n salts on the other side."""
         steps = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda t: F.concat_ws(":", F.lit(kind), F.col("s"), band, first(t), second(t)))
+        return F.transform(steps, lambda t: F.concat_ws(":", F.lit(kind), F.col("pool"), band, first(t), second(t)))
 
     band, mine, other = F.col("band"), lambda t: salt, lambda t: t
     outside = [

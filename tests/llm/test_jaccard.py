@@ -103,6 +103,6 @@ def test_work_on_a_large_group_is_linear(spark):
         found = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), kept, size=4, percent=80)
         assert found.where("component_id = 0").count() >= 0.99 * n
         read = lambda name: spark.read.parquet(f"{kept.root}/{name}")  # noqa: B023, E731
-        made.append(read("near").count() + (read("more").count() if not read("mixed").isEmpty() else 0))
-        drop("near", "more", "mixed")
+        made.append(read("near").count() + (0 if read("several").isEmpty() else read("more").count()))
+        drop("near", "more", "several")
     assert made[1] <= 5 * made[0]
