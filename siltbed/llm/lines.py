@@ -17,12 +17,10 @@ from .scratch import Scratch, set_batches
 U = np.uint64
 #: Leading tokens that lead to a leaf: the tree's depth.
 DEPTH = 2
-#: Tokens of a line, evenly spaced, that stand for it within its leaf.
-SAMPLE = 16
 #: Tokens that all lines of a template have in place and that are no fields: so many at least, and half of all tokens.
 CONSTANT = 3
 _FIELD = U(0x5F2A91C3D4E6B807)  # the hash of a variable field
-LINES = "doc_id long, line long, leaf long, masked long, sample binary, words int"
+LINES = "doc_id long, line long, leaf long, masked long, tokens binary, words int"
 
 
 def line_hash(line: bytes) -> int:
@@ -30,7 +28,7 @@ def line_hash(line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a word: its hash, its leaf, its masked hash, sampled tokens and count of words.
+    """A row for each line with a word: its hash, its leaf, its masked hash, 32 bits of each token and their count.
 
     A token with a digit is a variable field. Leaves hold lines of one token count. A line of too few constant tokens
     for a template has its own hash for the masked one, and no leaf."""
@@ -59,36 +57,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     leaf = W.mix(leaf * U(31) + np.where(n > i, padded[np.minimum(begin + i, len(tokens))], U(7)))
                 place = np.arange(len(tokens)) - np.repeat(part.rows[:-1], count)
                 masked = W.mix(np.add.reduceat(W.mix(tokens + place.astype(U) * U(0x9E3779B97F4A7C15)), begin) + n.astype(U)).view(np.int64)
-                k = np.minimum(n, SAMPLE)
-                pick = begin[:, None] + np.minimum(np.arange(SAMPLE)[None, :] * n[:, None] // k[:, None], n[:, None] - 1)
-                short = (tokens[pick] >> U(48)).astype("<u2")
+                short = (tokens >> U(32)).astype("<u4").tobytes()
                 text = own.tobytes()
                 hashes = [line_hash(text[cuts[i] : cuts[i + 1]]) for i in full]
                 constant = np.add.reduceat((tokens != _FIELD).astype(np.int64), begin)
                 bare = (constant < CONSTANT) | (2 * constant < n)
                 masked = np.where(bare, np.array(hashes, np.int64), masked)
                 doc = np.searchsorted(rows, cuts[:-1][full], "right") - 1 + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([x[:m].tobytes() for x, m in zip(short, k, strict=True)]), pa.array(n, pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([b"" if x else short[4 * i : 4 * (i + m)] for i, m, x in zip(begin.tolist(), n.tolist(), bare.tolist(), strict=True)]), pa.array(n, pa.int32())], names=names)
             at = to
 
 
 def _templates(alike: float, direct: int):  # noqa: ANN202
-    """Rows (leaf, masked, sample) sorted by leaf: (masked, template) of lines that join another's template.
+    """Rows (leaf, masked, tokens) sorted by leaf: (masked, template) of lines that join another's template.
 
     A line is compared to all templates of its leaf up to `direct` of them. Of more, those are looked up that have one of
-    its rarest tokens in place: as many tokens as may differ and one more, so none that is alike is passed over."""
+    its tokens in place among as many places as may differ and one more, so none that is alike is passed over."""
 
-    field = int(_FIELD >> U(48))
+    field = int(_FIELD >> U(32))
 
-    def group(masked: list[int], samples: list[bytes]) -> list[tuple[int, int]]:
-        own = np.frombuffer(b"".join(samples), "<u2").reshape(len(samples), -1)
+    def group(masked: list[int], lines: list[bytes]) -> list[tuple[int, int]]:
+        own = np.frombuffer(b"".join(lines), "<u4").reshape(len(lines), -1)
         size = own.shape[1]
         forms, fixed = np.empty_like(own), np.zeros(own.shape, bool)
         heads, joined, at = [], [], {}
         needed = next(k for k in range(size + 1) if k / size >= alike or k == size)
+        # The last places, as all lines of a leaf agree in the first ones.
+        shift, places = np.arange(needed - 1, size) << 32, slice(needed - 1, size)
 
         def index(head: int) -> None:
-            for key in enumerate(forms[head].tolist()):
+            for key in (forms[head, places] + shift).tolist():
                 at.setdefault(key, []).append(head)
 
         for key, tokens in zip(masked, own, strict=True):
@@ -96,7 +94,7 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
             if n <= direct:
                 some = np.arange(n)
             else:
-                found = sorted((at.get(x, ()) for x in enumerate(tokens.tolist())), key=len)[: size - needed + 1]
+                found = (at.get(x, ()) for x in (tokens[places] + shift).tolist())
                 some = np.unique(np.fromiter(chain.from_iterable(found), np.int64))
             if len(some):
                 same = (forms[some] == tokens) & fixed[some]
@@ -117,18 +115,18 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
         return joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, masked, samples = None, [], []
+        now, masked, lines = None, [], []
         for batch in batches:
             out = []
-            for leaf, key, sample in zip(*(W.column_of(batch, c).to_pylist() for c in ("leaf", "masked", "sample")), strict=True):
+            for leaf, key, tokens in zip(*(W.column_of(batch, c).to_pylist() for c in ("leaf", "masked", "tokens")), strict=True):
                 if leaf != now:
                     if len(masked) > 1:
-                        out += group(masked, samples)
-                    now, masked, samples = leaf, [], []
+                        out += group(masked, lines)
+                    now, masked, lines = leaf, [], []
                 masked.append(key)
-                samples.append(sample)
+                lines.append(tokens)
             yield _two(out)
-        yield _two(group(masked, samples) if len(masked) > 1 else [])
+        yield _two(group(masked, lines) if len(masked) > 1 else [])
 
     def _two(rows: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["masked", "template"])
@@ -141,7 +139,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     or more and itself occurs in `copies` documents or more, and the first of these.
 
     Lines are led to a leaf by their token count and two leading tokens, where a token with a digit
-    is a variable field. Within a leaf a line joins the template that shares most of its sampled
+    is a variable field. Within a leaf a line joins the template that shares most of its
     tokens, `alike` of them at least, and where they differ the template gets a field. CONSTANT tokens and half of all
     must be none: lines of fewer (numbers, dates, two words) recur only where they are equal. Equal masked lines are one
     before that. Leaves are the same at every size of the corpus: in one of more than `leaf` templates a line looks up
@@ -150,14 +148,16 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     set_batches(docs.sparkSession)
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.save(read.mapInArrow(_lines, LINES), "lines")
-    masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("sample").alias("sample"))
+    masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = masked.where("leaf is not null").select("leaf", "masked", "sample").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
+    dealt = masked.where("leaf is not null").select("leaf", "masked", "tokens").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
     joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked", (F.col("words") >= words).alias("long")).join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"), "long")
     known = scratch.save(known.distinct(), "known")
     often = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= documents)
     equal = known.where("long").select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= copies)
+    # The key is written as a sum, so that the lines are dealt out anew and those of a common template can be split.
+    often = often.select((F.col("template") + F.lit(0)).alias("template"), "first")
     both = known.join(often, "template").select("line", "first").union(equal.select("line", "first"))
     found = scratch.save(both.groupBy("line").agg(F.min("first").alias("first")), "found")
     scratch.drop("lines", "joined")
@@ -180,7 +180,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike
     if found.count() <= known:
         table = found.toArrow()
         order = np.argsort(table["line"].to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(dict(zip(table["line"].to_numpy()[order].tolist(), table["first"].to_numpy()[order].tolist(), strict=True)))
+        sent = docs.sparkSession.sparkContext.broadcast((table["line"].to_numpy()[order], table["first"].to_numpy()[order]))
         read = docs.withColumn("siltbed_drop", F.lit(None).cast("array<long>"))
     else:
         sent = None
@@ -189,20 +189,30 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, column, drops = (W.column_of(batch, c).to_pylist() for c in ("doc_id", "text", "siltbed_drop"))
+            owns = [(x or "").encode().split(b"\n") for x in column]
+            hashes = np.array([line_hash(x) for own in owns for x in own], np.int64)
+            ends = np.cumsum([len(x) for x in owns])
+            if sent is not None:
+                lines, firsts = sent.value
+                at = np.minimum(np.searchsorted(lines, hashes), max(len(lines) - 1, 0))
+                docs_ = np.repeat(np.array([0 if x is None else x for x in ids], np.int64), np.diff(ends, prepend=0))
+                gone = (lines[at] == hashes) & (firsts[at] != docs_) if len(lines) else np.zeros(len(hashes), bool)
             texts, total, dropped = [], [], []
-            for doc, text, drop in zip(*(W.column_of(batch, c).to_pylist() for c in ("doc_id", "text", "siltbed_drop")), strict=True):
-                own = (text or "").encode().split(b"\n")
+            for doc, text, own, drop, end in zip(ids, column, owns, drops, ends.tolist(), strict=True):
+                mine = slice(end - len(own), end)
                 if doc is None:
-                    kept = own
+                    out = []
                 elif sent is not None:
-                    kept = [x for x in own if sent.value.get(line_hash(x), doc) == doc]
+                    out = np.flatnonzero(gone[mine]).tolist()
                 else:
-                    gone = set(drop or ())
-                    kept = [x for x in own if line_hash(x) not in gone] if gone else own
-                words = [x for x in own if x.strip()]
-                total.append(len(words))
-                dropped.append(len(own) - len(kept))
-                texts.append(text if text is None or len(kept) == len(own) else b"\n".join(kept).decode())
+                    out = np.flatnonzero(np.isin(hashes[mine], drop)).tolist() if drop else []
+                total.append(sum(1 for x in own if x.strip()))
+                dropped.append(len(out))
+                if out:
+                    lost = set(out)
+                    text = b"\n".join(x for i, x in enumerate(own) if i not in lost).decode()
+                texts.append(text)
             columns = [pa.array(texts, pa.string()) if c == "text" else W.column_of(batch, c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*rest, "n_lines", "n_dropped"])
 

@@ -48,6 +48,53 @@ def test_templates_of_more_lines_than_a_leaf_compares(spark, scratch):
     assert sum("Posted by" in r["text"] for r in found) == 1
 
 
+def test_a_leaf_of_any_size_drops_alike(spark, scratch):
+    for n in (1000, 1001, 50_000):
+        rows = [(i, f"Shared with {x} from the editorial office of the daily paper", "en", "a") for i, x in enumerate(names(n))]
+        found = lines.dedup_lines(documents(spark, rows).repartition(4), scratch)
+        assert found.where("n_dropped = 1").count() == n - 1
+
+
+def test_long_lines_are_judged_whole(spark, scratch):
+    """Lines of 160 tokens that agree in each tenth one, and in the first ones, alone."""
+    words = names(160 * 30)
+    rows = [(i, " ".join(f"same{'abcdefghijklmnop'[k // 10]}" if k % 10 == 0 or k < 2 else words[160 * i + k] for k in range(160)), "en", "a") for i in range(30)]
+    assert lines.dedup_lines(documents(spark, rows), scratch, documents=2).where("n_dropped > 0").count() == 0
+
+
+def test_tree_against_a_plain_one(spark, scratch):
+    """Templates of random lines of a few words, one line at a time in the order of their masked hashes."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "\n".join(" ".join(["the", "one", *(rng.choice(["a", "b", "c", "d", f"{rng.randrange(9)}"]) for _ in range(6))]) for _ in range(4)), "en", "a") for i in range(80)]
+    made = list(lines._lines(iter([documents(spark, rows).select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]])))
+    masked = {}
+    for batch in made:
+        for r in batch.to_pylist():
+            if r["leaf"] is not None:
+                masked[r["masked"]] = r["tokens"], r["leaf"]
+    heads, want = [], {}
+    field = int(lines._FIELD >> lines.U(32)).to_bytes(4, "little")
+    for key, (tokens, leaf) in sorted(masked.items(), key=lambda x: (x[1][1], x[0])):
+        own, best = [tokens[i : i + 4] for i in range(0, len(tokens), 4)], None
+        for head in heads:
+            if head["leaf"] != leaf:
+                continue
+            same = [a == b for a, b in zip(head["form"], own, strict=True)]
+            if sum(s and x != field for s, x in zip(same, own, strict=True)) >= max(lines.CONSTANT, len(own) / 2) and sum(same) >= 0.6 * len(own) and (best is None or sum(same) > best[0]):
+                best = sum(same), head, same
+        if best:
+            best[1]["form"] = [x if s else None for s, x in zip(best[2], best[1]["form"], strict=True)]
+            want[key] = best[1]["key"]
+        else:
+            heads.append({"key": key, "form": own, "leaf": leaf})
+    lines.recurring_lines(documents(spark, rows), scratch, documents=2)
+    known = spark.read.parquet(f"{scratch.root}/known").select("line", "template").distinct().collect()
+    of = {r["line"]: r["masked"] for batch in made for r in batch.to_pylist()}
+    assert want and {r["line"]: r["template"] for r in known} == {x: want.get(m, m) for x, m in of.items()}
+
+
 def test_lines_without_constants_stay(spark, scratch):
     """Rows of numbers, dates and short sentences are dropped only where they are equal."""
     words = names(40)
@@ -71,8 +118,8 @@ def test_looked_up_templates_are_those_compared():
 
     rng = np.random.default_rng(1)
     for size in (1, 2, 3, 7, 16):
-        samples = [bytes(2 * size)] + [rng.zipf(1.5, size).clip(0, 60000).astype("<u2").tobytes() for _ in range(800)]
-        batch = pa.RecordBatch.from_pydict({"leaf": [1] * 801, "masked": [*range(801)], "sample": samples})
+        tokens = [bytes(4 * size)] + [rng.zipf(1.5, size).clip(0, 60000).astype("<u4").tobytes() for _ in range(800)]
+        batch = pa.RecordBatch.from_pydict({"leaf": [1] * 801, "masked": [*range(801)], "tokens": tokens})
         made = [[b.to_pydict() for b in lines._templates(0.6, direct)(iter([batch]))] for direct in (0, 10, 10_000)]
         assert made[0] == made[1] == made[2]
 
