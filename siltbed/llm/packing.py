@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import Scratch, set_batches
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, of about 200 bytes each.
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,7 +52,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.letters, self.marks = _tokenizer(path), {"": b""}, {}, {"": b""}
+        self.tokenizer, self.known, self.marks = _tokenizer(path), {"": b""}, {"": b""}
         self.names = _byte_names()
 
     def _mark(self, text: str) -> bytes:
@@ -63,7 +63,7 @@ class Encoder:
         return self.marks[text]
 
     def _learn(self, parts: set[str]) -> None:
-        merge, letters, odd = self.tokenizer.model.tokenize, self.letters, []
+        merge, known, odd = self.tokenizer.model.tokenize, self.known, []
         for x in parts:
             m = _PLAIN.fullmatch(x)
             if not m or "<|" in x:
@@ -71,18 +71,17 @@ class Encoder:
                 continue
             before, word, after = m.groups()
             word = word.lower()
-            own = letters.get(word)
+            own = known.get(word)
             if own is None:
-                own = letters[word] = array("I", [t.id for t in merge(word if word.isascii() else word.translate(self.names))]).tobytes()
-            self.known[x] = self._mark(before) + own + self._mark(after)
+                own = known[word] = array("I", [t.id for t in merge(word if word.isascii() else word.translate(self.names))]).tobytes()
+            if x != word:
+                known[x] = self._mark(before) + own + self._mark(after)
         for x, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[x] = array("I", found.ids).tobytes()
+            known[x] = array("I", found.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        if len(self.letters) > REMEMBERED:
-            self.letters = {}
         parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
         found = [list(map(self.known.get, x)) for x in parts]
         missing = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in found]
