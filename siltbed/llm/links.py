@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Links of a file of a round: rounds of few links leave few files.
+FILE = 1 << 18
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): for each node of edges (a, b), the smallest node it can reach.
@@ -20,14 +23,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     k, seen = 0, _sum(now)
     while True:
         k += 1
+        files = seen[0] // FILE + 1
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
         low = low.select((F.col("a") + F.lit(0)).alias("a"), "least")  # dealt out anew, so that rows of a hub can be split
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = scratch.save(_stars(large), f"{name}{k}l")  # a > b from here on
+        large = scratch.save(_stars(large).coalesce(files), f"{name}{k}l")  # a > b from here on
         floor = large.groupBy("a").agg(F.min("b").alias("least")).select((F.col("a") + F.lit(0)).alias("a"), "least")
         small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct(F.col("a").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
-        new = scratch.save(_stars(small), f"{name}{k}")
+        new = scratch.save(_stars(small).coalesce(files), f"{name}{k}")
         scratch.drop(f"{name}{k}l", f"{name}{k - 1}")
         now, before, seen = new, seen, _sum(new)
         if seen == before:
