@@ -36,6 +36,25 @@ def build(keys: DataFrame, group: list[str], spare: int, p: float) -> tuple[Data
     return found, sized
 
 
+def packed(filter_: DataFrame, group: list[str]) -> DataFrame:
+    """word, bits by group: the set positions as words of 32 bits, as a filter is stored."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 32).cast("int"))
+    return filter_.groupBy(*group, F.floor(F.col("pos") / 32).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def unpacked(words: DataFrame, group: list[str]) -> DataFrame:
+    """The set positions (pos by group) of a stored filter."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(1) == 1)
+    return words.select(*group, F.explode(bits).alias("bit"), "word").select(*group, (32 * F.col("word") + F.col("bit")).alias("pos"))
+
+
+def probe_by(filter_: DataFrame, sized: DataFrame, keys: DataFrame, group: list[str]) -> DataFrame:
+    """maybe of each (group, key): 1 if all of a key's positions are set in its group's filter."""
+    wanted = keys.join(sized, group).select(*group, "key", F.explode(F.array_distinct(positions(F.col("key"), F.col("k"), F.col("m")))).alias("pos"))
+    hit = wanted.join(filter_.withColumn("hit", F.lit(1)), [*group, "pos"], "left")
+    return hit.groupBy(*group, "key").agg(F.min(F.coalesce("hit", F.lit(0))).alias("maybe"))
+
+
 def probe(filter_: DataFrame, sized: DataFrame, keys: DataFrame) -> DataFrame:
     """key, maybe: 1 if all of a key's positions are set. No key that was added gets 0."""
     wanted = keys.join(F.broadcast(sized)).select("key", F.explode(F.array_distinct(positions(F.col("key"), F.col("k"), F.col("m")))).alias("pos"))

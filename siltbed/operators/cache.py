@@ -22,8 +22,11 @@ def _last_keys(trace: DataFrame, capacity: int, chunk: int) -> DataFrame:
     return last.withColumn("_p", place).where(F.col("_p") <= capacity).drop("_p")
 
 
-def hits(trace: DataFrame, capacity: int, chunk: int = 1 << 16) -> DataFrame:
-    """at, hit of each access (at, k); at is unique. A capacity under 1 never hits."""
+def hits(trace: DataFrame, capacity: int, chunk: int = 1 << 16, chunks: int = 1 << 10) -> DataFrame:
+    """at, hit of each access (at, k); at is unique and not negative. A capacity under 1 never hits.
+
+    Chunks are larger than `chunk` where there would be more than `chunks` of them, as their states pass through the driver."""
+    chunk = max(chunk, -(-((trace.agg(F.max("at")).first()[0] or 0) + 1) // chunks))
     before: dict[int, list[str]] = {}
     held: OrderedDict[str, None] = OrderedDict()
     for row in _last_keys(trace, capacity, chunk).orderBy("chunk", "at").toLocalIterator():
@@ -33,25 +36,24 @@ def hits(trace: DataFrame, capacity: int, chunk: int = 1 << 16) -> DataFrame:
         held.move_to_end(row["k"])
         while len(held) > capacity:
             held.popitem(last=False)
-    sent = trace.sparkSession.sparkContext.broadcast(before)  # capacity keys a chunk
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("at")
-        own = OrderedDict.fromkeys(sent.value.get(int(key[0]), []))
-        out = []
-        for k in rows["k"]:
-            out.append(int(k in own))
-            own[k] = None
-            own.move_to_end(k)
-            if len(own) > capacity:
-                own.popitem(last=False)
-        yield pd.DataFrame({"at": rows["at"], "hit": out})
-
-    def whole(key, rows):  # noqa: ANN001, ANN202
-        return next(run(key, iter([rows])))
+    sent = trace.sparkSession.sparkContext.broadcast(before)  # capacity keys for each of `chunks` chunks at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, OrderedDict()
+        for rows in batches:
+            out = []
+            for part, k in rows[["chunk", "k"]].itertuples(index=False):
+                if part != now:
+                    now, own = part, OrderedDict.fromkeys(sent.value.get(part, []))
+                out.append(int(k in own))
+                own[k] = None
+                own.move_to_end(k)
+                if len(own) > capacity:
+                    own.popitem(last=False)
+            yield pd.DataFrame({"at": rows["at"], "hit": out})
 
     dealt = trace.select("at", "k", F.floor(F.col("at") / chunk).alias("chunk"))
-    return dealt.groupBy("chunk").applyInPandas(whole, "at long, hit int")
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "at").mapInPandas(run, "at long, hit int")
 
 
 def final_state(trace: DataFrame, capacity: int) -> DataFrame:

@@ -61,16 +61,20 @@ def roots(nodes: DataFrame, step: int = STEP) -> DataFrame:
     return now.join(sizes, "g").select("g", "n", F.lower(F.hex("hash")).alias("root"))
 
 
-def levels(nodes: DataFrame) -> DataFrame:
-    """level (0: leaves), idx, hash of the whole tree of one group: a join for each level."""
-    depth = _depths(nodes).agg(F.max("depth")).first()[0] or 0
-    now, out = nodes.select("idx", "hash"), None
-    for level in range(depth + 1):
+def levels(nodes: DataFrame, folder: str) -> DataFrame:
+    """g, level (0: leaves), idx, hash of the whole tree of each group. A level is written to `folder` and the next one made of it."""
+    sizes = _depths(nodes).select("g", "depth")
+    spark, deepest = nodes.sparkSession, sizes.agg(F.max("depth")).first()[0] or 0
+    now, out = nodes.select("g", "idx", "hash"), None
+    for level in range(deepest + 1):
         if level:
-            pairs = now.groupBy(F.shiftright("idx", 1).alias("up")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))).alias("left"), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))).alias("right"))
+            up = now.join(F.broadcast(sizes) if deepest <= 20 and sizes.count() <= 1 << 16 else sizes, "g").where(F.col("depth") >= level)
+            pairs = up.groupBy("g", F.shiftright("idx", 1).alias("up")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))).alias("left"), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))).alias("right"))
             pad = F.lit(_zero(level - 1))
-            now = pairs.select(F.col("up").alias("idx"), F.unhex(F.sha1(F.concat(F.coalesce("left", pad), F.coalesce("right", pad)))).alias("hash"))
-        own = now.select(F.lit(level).alias("level"), "idx", F.lower(F.hex("hash")).alias("hash"))
+            now = pairs.select("g", F.col("up").alias("idx"), F.unhex(F.sha1(F.concat(F.coalesce("left", pad), F.coalesce("right", pad)))).alias("hash"))
+        now.write.mode("overwrite").parquet(f"{folder}/{level}")
+        now = spark.read.schema(now.schema).parquet(f"{folder}/{level}")
+        own = now.select("g", F.lit(level).alias("level"), "idx", F.lower(F.hex("hash")).alias("hash"))
         out = own if out is None else out.union(own)
     return out
 

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, order: list[str], name: str, buckets: int = 64) -> DataFrame:
     """df with `name`: each row's place, from 0, by the order columns, the first of which is dealt out.
 
-    Rows fall into ranges of the first order column by its quantiles (numbers), or of the first bytes
-    (strings); a range's rows are numbered in one task, after the counts of the ranges before it.
+    Rows fall into ranges of the first order column, between values of a sample that a hash of the row draws (the
+    same one each time the plan runs); a range's rows are numbered in one task, after the counts of the ranges before it.
     """
-    kind = dict(df.dtypes)[order[0]]
-    if kind == "string":
-        code: Column = F.conv(F.rpad(F.hex(F.substring(F.col(order[0]).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    else:
-        code = F.col(order[0])
-    keyed = df.withColumn("_code", code.cast("double"))
-    bounds = sorted(set(keyed.approxQuantile("_code", [i / buckets for i in range(1, buckets)], 0.001)))
-    bucket = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b < F.col("_code"))) if bounds else F.lit(0)
-    keyed = keyed.withColumn("_bucket", F.when(F.col("_code").isNull(), -1).otherwise(bucket)).drop("_code")
+    first = F.col(order[0])
+    share = min(1.0, 64 * buckets / max(df.count(), 1))
+    drawn = df.where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < int(share * (1 << 30))).where(first.isNotNull())
+    sample = sorted(r[0] for r in drawn.select(order[0]).collect())  # about 64 for each bucket
+    bounds = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+    bucket = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < first)) if bounds else F.lit(0)
+    keyed = df.withColumn("_bucket", F.when(first.isNull(), -1).otherwise(bucket))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # buckets + 1 rows
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import numbered, running
@@ -48,8 +48,9 @@ def floor_entry(summary: DataFrame, probes: list[str]) -> DataFrame:
 def pruned_lookup(rows: DataFrame, bloom: DataFrame, probes: list[str], params: DataFrame) -> DataFrame:
     """probe, generation, zone_ok, bloom_ok, found for each probe and run.
 
-    bloom has (generation, pos), params (generation, m, k). A run is only read for a probe
-    that its zone and its filter let pass; found is 1 where it has the key.
+    bloom has (generation, pos), params (generation, m, k). The pairs of a probe and a run that zone and filter let pass
+    are found first, and only they are joined to the rows: where these are stored by generation (memtable.write_runs), no other run is
+    read, and within a run the probes are pushed down to its row groups. found is 1 where the run has the key.
     """
     from .bloom import positions
 
@@ -62,6 +63,37 @@ def pruned_lookup(rows: DataFrame, bloom: DataFrame, probes: list[str], params:
     have = bits.join(bloom, ["generation", "pos"]).groupBy("probe", "generation").agg(F.count("*").alias("have"))
     tested = zones.select("probe", "generation", "zone_ok").join(need, ["probe", "generation"]).join(have, ["probe", "generation"], "left")
     tested = tested.withColumn("bloom_ok", F.when(F.col("need") == F.col("have"), 1).otherwise(0))
-    hits = rows.where(F.col("k").isin(probes)).select(F.col("k").alias("probe"), "generation", F.lit(1).alias("hit")).distinct()
+    open_ = tested.where("zone_ok = 1 and bloom_ok = 1").select("probe", "generation")  # few: probes, and false positives
+    hits = rows.where(F.col("k").isin(probes)).withColumnRenamed("k", "probe").join(F.broadcast(open_), ["probe", "generation"])
+    hits = hits.select("probe", "generation", F.lit(1).alias("hit")).distinct()
     out = tested.join(hits, ["probe", "generation"], "left")
-    return out.select("probe", "generation", "zone_ok", "bloom_ok", F.when((F.col("zone_ok") == 1) & (F.col("bloom_ok") == 1) & F.col("hit").isNotNull(), 1).otherwise(0).alias("found"))
+    return out.select("probe", "generation", "zone_ok", "bloom_ok", F.coalesce("hit", F.lit(0)).alias("found"))
+
+
+def index_probe(index: DataFrame, summary: DataFrame, probes: list[str], every: int) -> DataFrame:
+    """probe, seg, offset: the segment of the index that may hold each probe, and its record's place, -1 where there is none.
+
+    Only the entries of the probes' segments take part in the search."""
+    asked = floor_entry(summary, probes)
+    placed = numbered(index, ["k"], "_at").select(F.floor(F.col("_at") / every).alias("seg"), "k", "offset")
+    segments = F.broadcast(asked.select("seg", "probe"))  # a row for each probe
+    found = placed.join(segments, "seg").where(F.col("k") == F.col("probe")).select("probe", "offset")
+    return asked.join(F.broadcast(found), "probe", "left").select("probe", "seg", F.coalesce("offset", F.lit(-1)).alias("offset"))
+
+
+def contents(runs: DataFrame, params: DataFrame, every: int) -> DataFrame:
+    """generation, n, then where each section of the run's single file begins and the file ends: records, index, summary, filter.
+
+    runs has (generation, k); values are 8 bytes, params (generation, m) has the filters' bits. A run has no more rows
+    than a memtable, so they are numbered by run."""
+    key = F.octet_length("k")
+    place = F.row_number().over(Window.partitionBy("generation").orderBy("k")) - 1
+    sizes = runs.select("generation", key.alias("size"), (place % every == 0).alias("sampled")).groupBy("generation").agg(
+        F.count("*").alias("n"), F.sum(F.col("size") + RECORD + 8).alias("records"), F.sum(F.col("size") + ENTRY).alias("entries"), F.sum(F.when(F.col("sampled"), F.col("size") + ENTRY).otherwise(0)).alias("summary")
+    )
+    at = F.lit(HEADER).cast("long")
+    out = [F.col("generation"), F.col("n"), at.alias("records_at")]
+    for name, size in (("index_at", F.col("records")), ("summary_at", F.col("entries")), ("filter_at", F.col("summary")), ("end_at", F.ceil(F.col("m") / 8).cast("long"))):
+        at = at + size
+        out.append(at.alias(name))
+    return sizes.join(params.select("generation", "m"), "generation").select(*out)

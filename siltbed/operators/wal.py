@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kv import newest
@@ -22,10 +22,25 @@ def dump(log: DataFrame, size: int) -> DataFrame:
     return with_segment(log, size).orderBy("segment", "lsn")
 
 
+def _crc() -> Column:
+    """The checksum of a record's text `ts,tomb,k,v`."""
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("ts_us", "tomb", "k", "v"))
+    return F.crc32(F.concat_ws(",", *parts).cast("binary"))
+
+
+def encode(log: DataFrame) -> DataFrame:
+    """The log with crc, as it is written."""
+    return log.withColumn("crc", _crc())
+
+
 def checksums(log: DataFrame) -> DataFrame:
-    """lsn, crc of each record's text `ts,tomb,k,lsn`."""
-    text = F.concat_ws(",", F.col("ts_us").cast("string"), F.col("tomb").cast("string"), "k", F.col("lsn").cast("string"))
-    return log.select("lsn", F.crc32(text.cast("binary")).alias("crc"))
+    """lsn, crc of each record."""
+    return encode(log).select("lsn", "crc")
+
+
+def verify(stored: DataFrame) -> DataFrame:
+    """lsn, ok: whether each stored record still has the checksum that it was written with."""
+    return stored.select("lsn", F.when(_crc() == F.col("crc"), 1).otherwise(0).alias("ok"))
 
 
 def current_segment(log: DataFrame, size: int) -> DataFrame:

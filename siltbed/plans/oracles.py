@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.hashing import BASE, FNV_MASK, FNV_OFFSET, FNV_PRIME
+from ..sources import generator
 from . import queries as Q
 
 LOG = "log AS (SELECT CAST(user_id AS VARCHAR) AS k, value AS v, epoch_us(ts) AS ts_us, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS tomb, event_id + 1 AS lsn FROM events)"
@@ -46,6 +47,11 @@ def cell(text: str, i: str) -> str:
     return f"CAST(('0x' || substr({digest(text, i)}, 1, 16))::UBIGINT % {Q.CMS_M} AS BIGINT)"
 
 
+def letters(what: str, length: int) -> str:
+    """Letters of the generator's words, by the bytes of a digest."""
+    return " || ".join(f"substr('{generator.LETTERS}', CAST(('0x' || substr(md5('42:{what}:' || id), {2 * j + 1}, 2)) AS BIGINT) % 52 + 1, 1)" for j in range(length))
+
+
 def fnv1(text: str) -> str:
     codes = f"list_transform(range(CAST(length({text}) AS BIGINT)), lambda i: CAST(ascii(substr({text}, i + 1, 1)) AS HUGEINT))"
     return f"CAST(list_reduce(list_prepend({FNV_OFFSET}::HUGEINT, {codes}), lambda a, b: xor((a * {FNV_PRIME}) & {FNV_MASK}, b)) AS BIGINT)"
@@ -112,9 +118,21 @@ ORACLES: dict[str, str] = {
     "kv_scan_page": f"WITH {PARTS} SELECT * FROM kv ORDER BY k LIMIT 5 OFFSET 5",
     "memtable_size": f"WITH {LOG} SELECT lsn // 100 AS bucket, count(DISTINCT k) AS n_keys FROM log GROUP BY bucket",
     "memtable_generations": f"WITH {GENERATIONS} SELECT generation, count(*) AS n, min(o_orderkey) AS min_k, max(o_orderkey) AS max_k FROM gen GROUP BY generation",
-    "memtable_sorted_run": f"WITH {RUNS} SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos FROM runs WHERE generation = 0",
+    "memtable_sorted_run": f"WITH {RUNS} SELECT generation, k, row_number() OVER (PARTITION BY generation ORDER BY k) - 1 AS pos FROM runs",
+    "memtable_flushes": """WITH RECURSIVE r AS (SELECT event_type AS store, user_id AS k, event_id + 1 AS lsn, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+        s AS (SELECT store, rn, lsn, 0 AS generation, [k] AS held FROM r WHERE rn = 1
+            UNION ALL SELECT r.store, r.rn, r.lsn, CASE WHEN len(held) >= 20 THEN generation + 1 ELSE generation END,
+                CASE WHEN len(held) >= 20 THEN [r.k] WHEN list_contains(held, r.k) THEN held ELSE list_append(held, r.k) END FROM s JOIN r ON r.store = s.store AND r.rn = s.rn + 1)
+        SELECT store, CAST(generation AS BIGINT) AS generation, max(len(held)) AS n_keys, count(*) AS n_puts, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM s GROUP BY store, generation""",
     "sst_record_layout": f"WITH {CRC}, {RECORDS} SELECT * FROM placed",
-    "sst_crc_verify": "SELECT c_name AS k, 1 AS ok FROM customer",
+    "sst_crc_verify": f"WITH {CRC}, {RECORDS}, damaged AS (SELECT CASE WHEN crc % 5 = 0 THEN k || 'x' ELSE k END AS k, rec.crc AS was FROM rec) SELECT k, CASE WHEN {crc32('k')} = was THEN 1 ELSE 0 END AS ok FROM damaged, crc",
+    "sst_index_probe": f"""WITH {CRC}, {RECORDS}, asked AS (SELECT probe, arg_max(seg, k) AS seg FROM summ, (VALUES {values(Q.CUSTOMERS)}) p(probe) WHERE k <= probe GROUP BY probe)
+        SELECT probe, seg, coalesce("offset", -1) AS "offset" FROM asked LEFT JOIN ind ON ind.k = probe""",
+    "sst_contents": f"""WITH {RUNS}, placed AS (SELECT generation, length(k) AS l, row_number() OVER (PARTITION BY generation ORDER BY k) - 1 AS place FROM runs),
+        sizes AS (SELECT generation, count(*) AS n, sum(l + 37) AS a, sum(l + 16) AS b, sum(CASE WHEN place % 3 = 0 THEN l + 16 ELSE 0 END) AS c, {BITS.format(n="(count(*) + 50)")} AS m FROM placed GROUP BY generation)
+        SELECT generation, n, CAST(48 AS BIGINT) AS records_at, CAST(48 + a AS BIGINT) AS index_at, CAST(48 + a + b AS BIGINT) AS summary_at, CAST(48 + a + b + c AS BIGINT) AS filter_at, CAST(48 + a + b + c + ceil(m / 8) AS BIGINT) AS end_at FROM sizes""",
+    "lsm_manifest": """SELECT 1 AS level, 3 AS generation, count(DISTINCT user_id) AS n FROM events WHERE (event_id + 1) % 3 = 2
+        UNION ALL SELECT 2, 2, count(DISTINCT user_id) FROM events WHERE (event_id + 1) % 3 < 2""",
     "sst_index": f"WITH {CRC}, {RECORDS} SELECT * FROM ind",
     "sst_summary": f"WITH {CRC}, {RECORDS} SELECT * FROM summ",
     "sst_zone_map": f"WITH {RUNS} SELECT generation, min(k) AS first_k, max(k) AS last_k, count(*) AS n FROM runs GROUP BY generation",
@@ -138,11 +156,13 @@ ORACLES: dict[str, str] = {
     "bloom_build": f"WITH {FILTER} SELECT pos FROM bits",
     "bloom_probe": f"WITH {FILTER} SELECT id, min(CASE WHEN pos IS NULL THEN 0 ELSE 1 END) AS maybe FROM (SELECT id, {position('CAST(id AS VARCHAR)', 'i', 'm')} AS want FROM range(1000) a(id), sized, range(10) t(i) WHERE i < h) LEFT JOIN bits ON pos = want GROUP BY id",
     "merkle_root": f"WITH RECURSIVE {_tree('c_mktsegment')} {_roots('tree')}",
-    "merkle_levels": f"WITH RECURSIVE {_tree('c_mktsegment', 'c_nationkey = 7')} SELECT CAST(level AS INT) AS level, idx, CASE WHEN level = 0 THEN l[idx + 1] ELSE l[idx + 1] END AS hash FROM (SELECT level, l, n, unnest(range(len(l))) AS idx FROM tree) WHERE idx < ceil(n / pow(2, level))",
+    "merkle_levels": f"WITH RECURSIVE {_tree('c_mktsegment')} SELECT g, CAST(level AS INT) AS level, idx, CASE WHEN level = 0 THEN l[idx + 1] ELSE l[idx + 1] END AS hash FROM (SELECT g, level, l, n, unnest(range(len(l))) AS idx FROM tree) WHERE idx < ceil(n / pow(2, level))",
     "merkle_diff": f"WITH RECURSIVE {_tree('c_mktsegment')}, {_tree(CHANGED).replace('leaf', 'leaf2').replace('tree', 'tree2')} SELECT a.g, CASE WHEN a.root = b.root THEN 1 ELSE 0 END AS same FROM ({_roots('tree')}) a JOIN ({_roots('tree2')}) b ON a.g = b.g",
     "wal_segments": f"WITH {LOG} SELECT (lsn - 1) // 10 AS segment, count(*) AS n, min(lsn) AS min_lsn, max(lsn) AS max_lsn FROM log GROUP BY segment",
     "wal_dump": f"WITH {LOG} SELECT *, (lsn - 1) // 10 AS segment FROM log",
-    "wal_crc": f"WITH {CRC}, {LOG}, txt AS (SELECT lsn, ts_us || ',' || tomb || ',' || k || ',' || lsn AS t FROM log) SELECT lsn, {crc32('txt.t')} AS crc FROM txt, crc",
+    "wal_crc": f"WITH {CRC}, {LOG}, txt AS (SELECT lsn, ts_us || ',' || tomb || ',' || k || ',' || v AS t FROM log) SELECT lsn, {crc32('txt.t')} AS crc FROM txt, crc",
+    "wal_verify": f"""WITH {CRC}, {LOG}, txt AS (SELECT lsn, ts_us || ',' || tomb || ',' || k || ',' AS t, v, CASE WHEN lsn % 7 = 0 THEN v + 1 ELSE v END AS now FROM log),
+        both_ AS (SELECT lsn, t || v AS was, t || now AS now FROM txt) SELECT lsn, CASE WHEN {crc32('was')} = {crc32('now')} THEN 1 ELSE 0 END AS ok FROM both_, crc""",
     "wal_current_segment": f"WITH {LOG} SELECT (lsn - 1) // 10 AS segment, count(*) AS n FROM log GROUP BY segment ORDER BY segment DESC LIMIT 1",
     "wal_replay": f"WITH {LOG}, {NEWEST} SELECT k, v, tomb FROM state",
     "lru_hits": """WITH t AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
@@ -160,9 +180,19 @@ ORACLES: dict[str, str] = {
     "cms_estimate": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS k, count(*) AS exact FROM events GROUP BY user_id), cells AS (SELECT k, exact, i, {cell('k', 'i')} AS c FROM e, range({Q.CMS_K}) t(i)),
         sums AS (SELECT i, c, CAST(sum(exact) AS BIGINT) AS n FROM cells GROUP BY i, c) SELECT k, min(n) AS est, any_value(exact) AS exact FROM cells JOIN sums USING (i, c) GROUP BY k""",
     "cms_by_group": f"SELECT event_type AS name, CAST(i AS INT) AS r, {cell('CAST(user_id AS VARCHAR)', 'i')} AS c, count(*) AS n FROM events, range({Q.CMS_K}) t(i) GROUP BY ALL",
+    "cms_store": f"SELECT event_type AS name, CAST(i AS INT) AS r, {cell('CAST(user_id AS VARCHAR)', 'i')} AS c, count(*) AS n FROM events, range({Q.CMS_K}) t(i) GROUP BY ALL",
     "hll_registers": f"WITH {REGISTERS.format(group='', select='')} SELECT * FROM regs",
     "hll_estimate_compat": f"WITH {REGISTERS.format(group='', select='')} {ESTIMATE.format(group='', more=', n_nonempty', by='')}",
     "hll_by_group": f"WITH {REGISTERS.format(group='name, ', select='substr(o_orderpriority, 1, 16) AS name, ')} {ESTIMATE.format(group='name, ', more='', by='GROUP BY name')}",
+    "hll_store": f"WITH {REGISTERS.format(group='name, ', select='substr(o_orderpriority, 1, 16) AS name, ')} {ESTIMATE.format(group='name, ', more='', by='GROUP BY name')}",
+    "approx_distinct": "SELECT count(DISTINCT o_custkey) AS exact, true AS within FROM orders",
+    "bloom_store": f"""WITH users AS (SELECT DISTINCT event_type AS name, CAST(user_id AS VARCHAR) AS key FROM events),
+        sized AS (SELECT *, {COUNT.format(m="m", n="n")} AS h FROM (SELECT name, n, {BITS.format(n="n")} AS m FROM (SELECT name, count(*) + 50 AS n FROM users GROUP BY name))),
+        bits AS (SELECT DISTINCT name, {position('key', 'i', 'm')} AS pos FROM users JOIN sized USING (name), range(10) t(i) WHERE i < h),
+        asked AS (SELECT name, id, {position('CAST(id AS VARCHAR)', 'i', 'm')} AS pos FROM (SELECT DISTINCT event_type AS name, 2 * user_id AS id FROM events) JOIN sized USING (name), range(10) t(i) WHERE i < h)
+        SELECT name, id, min(CASE WHEN bits.pos IS NULL THEN 0 ELSE 1 END) AS maybe FROM asked LEFT JOIN bits USING (name, pos) GROUP BY name, id""",
+    "random_puts": f"SELECT id + 1 AS lsn, {letters('k', generator.KEY)} AS k, {letters('v', generator.VALUE)} AS v FROM range(1000) t(id)",
+    "random_ints": "SELECT id, CAST(('0x' || substr(md5('42:i:' || id), 1, 8)) AS BIGINT) AS value FROM range(1000) t(id)",
     "simhash_tokens": f"WITH {TOKENS} SELECT * FROM toks",
     "simhash_fingerprint": f"WITH {PRINTS} SELECT * FROM prints",
     "simhash_hamming": f"WITH {PRINTS} SELECT a.doc_id AS a, b.doc_id AS b, CAST(list_sum(list_transform(range(256), lambda i: CASE WHEN substr(a.h, i + 1, 1) = substr(b.h, i + 1, 1) THEN 0 ELSE 1 END)) AS INT) AS dist FROM prints a JOIN prints b ON b.doc_id = a.doc_id + 1",

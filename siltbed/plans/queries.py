@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bloom, cache, compaction, kv, limiter, memtable, merkle, simhash, sketches, sstable, wal
+from ..sources import generator
+from ..sources.folders import own_folder
+from ..sources.sketches import SketchStore
+from ..sources.store import Options, Store
 from ..sources.tables import event_log, part_names, read
 
 CMS_M, CMS_K = 28, 2
@@ -95,7 +99,14 @@ def memtable_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def memtable_sorted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memtable.sorted_run(_generations(spark, sf_dir).where("generation = 0"), "o_orderkey")
+    return memtable.sorted_runs(_generations(spark, sf_dir), "o_orderkey")
+
+
+@query
+def memtable_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store for each event type; users are put again and again."""
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("store"), F.col("user_id").cast("string").alias("k"), (F.col("event_id") + 1).alias("lsn"))
+    return memtable.flushes(events, 20)
 
 
 # Sorted runs
@@ -112,7 +123,9 @@ def sst_record_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sst_crc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.verify(_records(spark, sf_dir))
+    """Each fifth key, by its checksum, was damaged after it was written."""
+    damaged = F.when(F.col("crc") % 5 == 0, F.concat("k", F.lit("x"))).otherwise(F.col("k"))
+    return sstable.verify(_records(spark, sf_dir).withColumn("k", damaged))
 
 
 @query
@@ -125,6 +138,12 @@ def sst_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.summary(sst_index(spark, sf_dir), 3)
 
 
+@query
+def sst_index_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = sst_index(spark, sf_dir)
+    return sstable.index_probe(index, sstable.summary(index, 3), CUSTOMERS, 3)
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generations(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("k"), "generation")
 
@@ -141,11 +160,21 @@ def sst_summary_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sst_lookup_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _runs(spark, sf_dir)
+    """The runs are written, a folder for each, and read from there."""
+    folder = own_folder(spark, "runs")
+    memtable.write_runs(_runs(spark, sf_dir), folder)
+    runs = spark.read.schema("k string, generation long").parquet(folder)
     filters, sized = bloom.build(runs.withColumnRenamed("k", "key"), ["generation"], 50, 0.1)
     return sstable.pruned_lookup(runs, filters, ORDERS, sized.select("generation", "m", "k"))
 
 
+@query
+def sst_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    sized = bloom.params(runs.groupBy("generation").agg((F.count("*") + 50).alias("n")), 0.1)
+    return sstable.contents(runs, sized, 3)
+
+
 # Compaction and levels
 
 
@@ -174,6 +203,18 @@ def lsm_next_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.next_generation(spark.createDataFrame(MANIFEST, "level int, generation int"))
 
 
+@query
+def lsm_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of events are put and flushed; the second flush merges the first one's run, and both go down a level."""
+    store = Store(spark, own_folder(spark, "store"), Options(threshold=5, depth=4))
+    log = event_log(spark, sf_dir)
+    for i in range(3):
+        store.put(log.where(F.col("lsn") % 3 == i))
+        store.flush()
+    levels = sorted((int(level), g, store._run(g).count()) for level, g in store.manifest()["levels"].items())
+    return spark.createDataFrame(levels, "level int, generation int, n long")
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.split_runs(event_log(spark, sf_dir), 4)
 
@@ -218,6 +259,18 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.probe(filter_, sized, asked).select(F.col("key").cast("long").alias("id"), "maybe")
 
 
+@query
+def bloom_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter for each event type is stored as words, opened again and asked for twice its users' numbers."""
+    users = read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("key"))
+    filters, sized = bloom.build(users, ["name"], 50, 0.1)
+    store = SketchStore(spark, own_folder(spark, "bloom"))
+    store.add("bloom", bloom.packed(filters, ["name"]))
+    asked = read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (2 * F.col("user_id")).cast("string").alias("key")).distinct()
+    found = bloom.probe_by(bloom.unpacked(store.bloom(), ["name"]), sized, asked, ["name"])
+    return found.select("name", F.col("key").cast("long").alias("id"), "maybe")
+
+
 def _leaves(spark: SparkSession, sf_dir: str, where: str = "true", value=None) -> DataFrame:  # noqa: ANN001
     rows = read(spark, sf_dir, "customer").where(where)
     value = F.col("c_mktsegment") if value is None else value
@@ -231,7 +284,7 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.levels(_leaves(spark, sf_dir, "c_nationkey = 7"))
+    return merkle.levels(_leaves(spark, sf_dir), own_folder(spark, "merkle"))
 
 
 @query
@@ -259,6 +312,13 @@ def wal_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.checksums(event_log(spark, sf_dir))
 
 
+@query
+def wal_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh record's value was damaged after it was written."""
+    stored = wal.encode(event_log(spark, sf_dir))
+    return wal.verify(stored.withColumn("v", F.when(F.col("lsn") % 7 == 0, F.col("v") + 1).otherwise(F.col("v"))))
+
+
 @query
 def wal_current_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.current_segment(event_log(spark, sf_dir), 10)
@@ -319,6 +379,26 @@ def cms_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.cms(events, F.col("k"), CMS_M, CMS_K, ["name"])
 
 
+@query
+def cms_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches of two halves of the log are stored, opened again and merged."""
+    events = read(spark, sf_dir, "events").select(F.substring("event_type", 1, 16).alias("name"), F.col("user_id").cast("string").alias("k"), "event_id")
+    store = SketchStore(spark, own_folder(spark, "cms"))
+    for half in (0, 1):
+        store.add("cms", sketches.cms(events.where(F.col("event_id") % 2 == half), F.col("k"), CMS_M, CMS_K, ["name"]))
+    return store.cms()
+
+
+@query
+def hll_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registers of two halves of the orders are stored, opened again and merged."""
+    orders = read(spark, sf_dir, "orders").withColumn("name", F.substring("o_orderpriority", 1, 16))
+    store = SketchStore(spark, own_folder(spark, "hll"))
+    for half in (0, 1):
+        store.add("hll", sketches.hll_registers(orders.where(F.col("o_orderkey") % 2 == half), F.col("o_custkey").cast("string"), ["name"]))
+    return sketches.hll_estimates(store.hll(), ["name"]).select("name", "est")
+
+
 @query
 def hll_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.hll_registers(read(spark, sf_dir, "orders"), F.col("o_custkey").cast("string"))
@@ -337,7 +417,22 @@ def hll_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.approx_distinct(read(spark, sf_dir, "orders"), "o_custkey")
+    """Whether the estimate is within 5 % of the exact count."""
+    found = sketches.approx_distinct(read(spark, sf_dir, "orders"), "o_custkey")
+    return found.select("exact", (F.abs(F.col("est") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"))
+
+
+# Generated input
+
+
+@query
+def random_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.random_puts(spark, 1000, 42)
+
+
+@query
+def random_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generator.random_ints(spark, 1000, 42)
 
 
 # Text

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltbed.functions.hashing import fnv1
-from siltbed.operators import bloom, cache, compaction, kv, limiter, merkle, ranks, simhash, sketches, sstable, wal
+from siltbed.operators import bloom, cache, compaction, kv, limiter, memtable, merkle, ranks, simhash, sketches, sstable, wal
 
 PUTS = "data1 b h g data3 data9 c k data4 i data54 data75 data79 data80 dat1 data1 dat222".split()
 
@@ -156,3 +156,26 @@ def test_simhash(spark):
     assert h[0] == h[1] and h[2] == h[3] == "0" * 256
     assert all(x == "0" for x in h[0][::8])
     assert {r["dist"] for r in simhash.next_distance(simhash.fingerprint(docs)).where("a = 0 or a = 2").collect()} == {0}
+
+
+def test_numbering_of_keys_with_a_common_prefix(spark):
+    """Ranges follow the keys themselves, so a long common prefix does not put all rows into one."""
+    names = [f"{'x' * 40}{i:06d}" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in names], "k string").repartition(5)
+    found = ranks.numbered(df, ["k"], "at", 16)
+    assert [r["k"] for r in found.orderBy("at").collect()] == names
+    assert found.groupBy(F.floor(F.col("at") / 1000)).count().count() == 3
+
+
+def test_flushes_of_updates(spark):
+    rows = [("s", k, i + 1) for i, k in enumerate("a a b a c a b d d e".split())]
+    found = memtable.flushes(spark.createDataFrame(rows, "store string, k string, lsn long"), 3).orderBy("generation").collect()
+    assert [tuple(r)[1:] for r in found] == [(0, 3, 5, 1, 5), (1, 3, 3, 6, 8), (2, 2, 2, 9, 10)]
+
+
+def test_damaged_records_fail(spark):
+    log = spark.createDataFrame([(1, 0, "k", "v", 1), (2, 0, "k", None, 2)], "ts_us long, tomb int, k string, v string, lsn long")
+    stored = wal.encode(log)
+    assert [r["ok"] for r in wal.verify(stored).orderBy("lsn").collect()] == [1, 1]
+    for column, value in (("v", "w"), ("k", "l"), ("ts_us", 7), ("tomb", 1)):
+        assert [r["ok"] for r in wal.verify(stored.withColumn(column, F.lit(value))).collect()].count(0) >= 1
