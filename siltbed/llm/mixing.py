@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
 from .scratch import Scratch
 
 #: Fixed value: what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
+#: Sources up to which tables of a row for each are sent to all executors; more are joined by hash and numbered in ranges.
+SENT = 1 << 16
 
 
 def targets(sources: DataFrame, scratch: Scratch, weights: list[float], share: float, most: float) -> DataFrame:
@@ -18,9 +21,12 @@ def targets(sources: DataFrame, scratch: Scratch, weights: list[float], share: f
     Sources in the order of their keys weigh `weights`, repeating. Targets share `share` of all
     words by weight; none is above `most` times its source's words, the excess is shared again by weight.
     """
-    place = F.row_number().over(Window.orderBy("key")) - 1  # one row for each source
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(place, F.lit(len(weights))) + 1)
-    table = scratch.save(sources.withColumn("weight", weight), "weights")
+    if sources.count() <= SENT:
+        sources = sources.withColumn("place", F.row_number().over(Window.orderBy("key")) - 1)
+    else:
+        sources = numbered(sources, ["key"], "place")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    table = scratch.save(sources.withColumn("weight", weight).drop("place"), "weights")
     cap, level, capped = F.col("source_size") * float(most), None, -1
     while True:
         full = F.lit(False) if level is None else F.col("weight") * F.lit(level) > cap
@@ -53,9 +59,11 @@ def mix(docs: DataFrame, scratch: Scratch, *, weights: list[float] = (5, 2, 1),
     rows = scratch.save(read, "rows")
     sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("w") * F.col("size")), F.sum("size")).alias("mean"))
     sources = scratch.save(sources, "sources")
+    few = sources.count() <= SENT
+    sent = lambda by_source: F.broadcast(by_source) if few else by_source
     goals = scratch.save(targets(sources.drop("mean"), scratch, list(weights), share, float(most)).join(sources.select("key", "mean"), "key"), "goals")
     expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.try_divide(F.col("target"), F.col("source_size")) * (F.lit(1.0) if weight is None else F.try_divide(F.col("w"), F.col("mean"))))).otherwise(0.0)
-    rows = rows.join(goals.drop("mean"), "key").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
+    rows = rows.join(sent(goals.drop("mean")), "key").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
     p = F.col("expected") - F.col("whole")
     odds = F.try_divide(F.col("u") / (1 - F.col("u")), p / (1 - p))
     rows = rows.withColumn("q", F.when((p > 0) & (F.col("size") > 0), odds)).withColumn("x", F.col("q") / (1 + F.col("q")) * BUCKETS)
@@ -65,22 +73,22 @@ def mix(docs: DataFrame, scratch: Scratch, *, weights: list[float] = (5, 2, 1),
     # The bin of each source in which its words pass what it lacks, and then that bin's own bin.
     first = _cut(rows.where("q is not null"), lacking, "b")
     first = scratch.save(first, "first")
-    inner = rows.where("q is not null").join(first.select("key", "b", "left"), ["key", "b"])
+    inner = rows.where("q is not null").join(sent(first.select("key", "b", "left")), ["key", "b"])
     second = scratch.save(_cut(inner, first.select("key", F.col("left").alias("lack")), "c"), "second")
-    edge = inner.drop("left").join(second.withColumnRenamed("left", "rest"), ["key", "c"])
+    edge = inner.drop("left").join(sent(second.withColumnRenamed("left", "rest")), ["key", "c"])
     run = F.sum("size").over(Window.partitionBy("key").orderBy("q", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
     edge = scratch.save(edge.withColumn("run", run).where("run <= rest").select("key", "row", "size"), "edge")
     cuts = first.select("key", F.col("b").alias("b0")).join(second.select("key", F.col("c").alias("c0")), "key", "left")
-    marked = rows.join(cuts, "key", "left").join(edge.select("key", "row", F.lit(1).alias("in_edge")), ["key", "row"], "left")
+    marked = rows.join(sent(cuts), "key", "left").join(edge.select("key", "row", F.lit(1).alias("in_edge")), ["key", "row"], "left")
     # A source without a cut lacks more than it can give: all its documents come.
     chosen = F.col("q").isNotNull() & (F.col("b0").isNull() | (F.col("b") < F.col("b0")) | ((F.col("b") == F.col("b0")) & (F.col("c") < F.col("c0"))) | F.col("in_edge").isNotNull())
     marked = marked.withColumn("one", F.when(chosen, 1).otherwise(0))
     marked = scratch.save(marked.select("doc_id", "source", "key", "row", "size", "source_size", "target", "whole", "q", "one"), "marked")
     short = marked.groupBy("key").agg((F.max("target") - F.sum(F.col("size") * (F.col("whole") + F.col("one")))).alias("short"))
-    spare = marked.where("q is not null and one = 0").join(short, "key").withColumn("off", F.abs(F.col("short") - F.col("size"))).where("off < abs(short)")
+    spare = marked.where("q is not null and one = 0").join(sent(short), "key").withColumn("off", F.abs(F.col("short") - F.col("size"))).where("off < abs(short)")
     last = spare.groupBy("key").agg(F.min(F.struct("off", "q", "doc_id", "row")).alias("best")).select("key", F.col("best.row").alias("row"), F.lit(1).alias("last"))
     copies = F.col("whole") + F.col("one") + F.coalesce("last", F.lit(0))
-    out = marked.join(last, ["key", "row"], "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+    out = marked.join(sent(last), ["key", "row"], "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
