@@ -11,6 +11,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For a shared folder that is mounted (file:): no checksum files beside the tables', as their writer starts a process for each file.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 @lru_cache(1)
 def _own_folder() -> str:
     """One temporary folder for this process; only used in local mode."""
@@ -42,7 +46,7 @@ class Scratch:
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").options(**PLAIN).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
