@@ -139,7 +139,6 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             each = [len(x) for x in rare]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare) if rare else [], pa.int64()), pa.array(np.repeat(gids, each)), pa.array(np.repeat(sizes, each).astype(np.int32))], names=["s", "gid", "n"])
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (kind 0) of leaders that share a shingle. A list longer than 4 * over comes out as it is: shingle and leader (kind 1)."""
@@ -171,7 +170,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             own = keep[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][own]) for x in (a, b, kind)], names=["a", "b", "kind"])
 
-    listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition(parts, "s")
+    listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition("s")
     found = scratch.save(listed.mapInArrow(pair_up, "a long, b long, kind byte"), "found")
     # Candidate pairs of groups, and pairs inside small groups, as pairs of members with a filter on counts.
     who = members.select("gid", "rep", "n", "sig", "sets")
@@ -216,13 +215,13 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(listed.select("rep")).toDF("id").distinct(), "needed")
     sets = scratch.save(_whole_sets(docs, needed, size, known), "sets")
     verified = _verify_pairs(pairs, sets, percent)
-    verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
+    verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
     verified = scratch.save(verified.distinct(), "links")
     known_ = components(verified, scratch, "near")
     mixed = _mixed(lists, listed, known_, scratch, percent)
     if mixed is not None:
         meets = _meets(mixed, 4 * cell).join(listed.select("rep", "parts"), "rep")
-        more = meets.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
+        more = meets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
         verified = scratch.save(verified.union(_verify_pairs(scratch.save(more, "more"), sets, percent)).distinct(), "all_links")
     scratch.drop("found", "leaders", "who", "sets", "listed", "lists", "near", "several", "mixed", "more", "frequent")
     joined = members.select("n", "sig", "rep").where("n > 0")

@@ -149,8 +149,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = scratch.save(read.mapInArrow(_lines, LINES), "lines")
     masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    dealt = masked.where("leaf is not null").select("leaf", "masked", "tokens").repartition(parts, "leaf").sortWithinPartitions("leaf", "masked")
+    dealt = masked.where("leaf is not null").select("leaf", "masked", "tokens").repartition("leaf").sortWithinPartitions("leaf", "masked")
     joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked", (F.col("words") >= words).alias("long")).join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"), "long")
     known = scratch.save(known.distinct(), "known")
