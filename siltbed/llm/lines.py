@@ -28,7 +28,7 @@ def line_hash(line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a word: its hash, its leaf, its masked hash, 32 bits of each token and their count.
+    """A row for each line with a word: its hash, its leaf, its masked hash, 16 bits of each token and their count.
 
     A token with a digit is a variable field. Leaves hold lines of one token count. A line of too few constant tokens
     for a template has its own hash for the masked one, and no leaf."""
@@ -57,14 +57,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     leaf = W.mix(leaf * U(31) + np.where(n > i, padded[np.minimum(begin + i, len(tokens))], U(7)))
                 place = np.arange(len(tokens)) - np.repeat(part.rows[:-1], count)
                 masked = W.mix(np.add.reduceat(W.mix(tokens + place.astype(U) * U(0x9E3779B97F4A7C15)), begin) + n.astype(U)).view(np.int64)
-                short = (tokens >> U(32)).astype("<u4").tobytes()
+                short = (tokens >> U(48)).astype("<u2").tobytes()
                 text = own.tobytes()
                 hashes = [line_hash(text[cuts[i] : cuts[i + 1]]) for i in full]
                 constant = np.add.reduceat((tokens != _FIELD).astype(np.int64), begin)
                 bare = (constant < CONSTANT) | (2 * constant < n)
                 masked = np.where(bare, np.array(hashes, np.int64), masked)
                 doc = np.searchsorted(rows, cuts[:-1][full], "right") - 1 + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([b"" if x else short[4 * i : 4 * (i + m)] for i, m, x in zip(begin.tolist(), n.tolist(), bare.tolist(), strict=True)]), pa.array(n, pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(hashes, pa.int64()), pa.array(leaf.view(np.int64), mask=bare), pa.array(masked), W.binary([b"" if x else short[2 * i : 2 * (i + m)] for i, m, x in zip(begin.tolist(), n.tolist(), bare.tolist(), strict=True)]), pa.array(n, pa.int32())], names=names)
             at = to
 
 
@@ -74,10 +74,10 @@ def _templates(alike: float, direct: int):  # noqa: ANN202
     A line is compared to all templates of its leaf up to `direct` of them. Of more, those are looked up that have one of
     its tokens in place among as many places as may differ and one more, so none that is alike is passed over."""
 
-    field = int(_FIELD >> U(32))
+    field = int(_FIELD >> U(48))
 
     def group(masked: list[int], lines: list[bytes]) -> list[tuple[int, int]]:
-        own = np.frombuffer(b"".join(lines), "<u4").reshape(len(lines), -1)
+        own = np.frombuffer(b"".join(lines), "<u2").reshape(len(lines), -1)
         size = own.shape[1]
         forms, fixed = np.empty_like(own), np.zeros(own.shape, bool)
         heads, joined, at = [], [], {}
@@ -153,14 +153,13 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked", (F.col("words") >= words).alias("long")).join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"), "long")
     known = scratch.save(known.distinct(), "known")
+    scratch.drop("lines", "joined")
     often = known.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= documents)
     equal = known.where("long").select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= copies)
     # The key is written as a sum, so that the lines are dealt out anew and those of a common template can be split.
     often = often.select((F.col("template") + F.lit(0)).alias("template"), "first")
     both = known.join(often, "template").select("line", "first").union(equal.select("line", "first"))
-    found = scratch.save(both.groupBy("line").agg(F.min("first").alias("first")), "found")
-    scratch.drop("lines", "joined")
-    return found
+    return scratch.save(both.groupBy("line").agg(F.min("first").alias("first")), "found")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike: float = 0.6, leaf: int = 1000, words: int = 50, copies: int = 2, known: int = 1 << 20) -> DataFrame:

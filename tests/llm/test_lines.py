@@ -75,9 +75,9 @@ def test_tree_against_a_plain_one(spark, scratch):
             if r["leaf"] is not None:
                 masked[r["masked"]] = r["tokens"], r["leaf"]
     heads, want = [], {}
-    field = int(lines._FIELD >> lines.U(32)).to_bytes(4, "little")
+    field = int(lines._FIELD >> lines.U(48)).to_bytes(2, "little")
     for key, (tokens, leaf) in sorted(masked.items(), key=lambda x: (x[1][1], x[0])):
-        own, best = [tokens[i : i + 4] for i in range(0, len(tokens), 4)], None
+        own, best = [tokens[i : i + 2] for i in range(0, len(tokens), 2)], None
         for head in heads:
             if head["leaf"] != leaf:
                 continue
@@ -118,7 +118,7 @@ def test_looked_up_templates_are_those_compared():
 
     rng = np.random.default_rng(1)
     for size in (1, 2, 3, 7, 16):
-        tokens = [bytes(4 * size)] + [rng.zipf(1.5, size).clip(0, 60000).astype("<u4").tobytes() for _ in range(800)]
+        tokens = [bytes(2 * size)] + [rng.zipf(1.5, size).clip(0, 60000).astype("<u2").tobytes() for _ in range(800)]
         batch = pa.RecordBatch.from_pydict({"leaf": [1] * 801, "masked": [*range(801)], "tokens": tokens})
         made = [[b.to_pydict() for b in lines._templates(0.6, direct)(iter([batch]))] for direct in (0, 10, 10_000)]
         assert made[0] == made[1] == made[2]
