@@ -205,7 +205,9 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     lists = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("gid"))
     lists = lists.union(leaders.where("length(often) > 0").select("gid", "often").mapInArrow(spelled, "s long, gid long"))
     lists = scratch.save(lists.union(members.where(f"rep = gid and sets > {over}").select(F.xxhash64(F.lit("group"), "gid"), "gid")).distinct(), "lists")
+    scratch.drop("found", "leaders", "frequent")
     listed = scratch.save(who.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "rep", "n", "parts", "sketch"), "listed")
+    scratch.drop("who")
     near = listed.select("rep", "n", F.posexplode("sketch").alias("k", "value"))
     # The key is written as a sum, so that the large side is dealt out anew and hot keys can be split.
     common = near.groupBy("k", "value").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).where("sets > 1")
@@ -217,13 +219,14 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     verified = _verify_pairs(pairs, sets, percent)
     verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
     verified = scratch.save(verified.distinct(), "links")
+    scratch.drop("near", "needed", "pairs")
     known_ = components(verified, scratch, "near")
     mixed = _mixed(lists, listed, known_, scratch, percent)
     if mixed is not None:
         meets = _meets(mixed, 4 * cell).join(listed.select("rep", "parts"), "rep")
         more = meets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
         verified = scratch.save(verified.union(_verify_pairs(scratch.save(more, "more"), sets, percent)).distinct(), "all_links")
-    scratch.drop("found", "leaders", "who", "sets", "listed", "lists", "near", "several", "mixed", "more", "frequent")
+    scratch.drop("sets", "listed", "lists", "several", "mixed", "more")
     joined = members.select("n", "sig", "rep").where("n > 0")
     # A row's node is its id; rows of one id or one set are one node.
     ties = full.select("doc_id", "n", "sig").join(joined, ["n", "sig"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
