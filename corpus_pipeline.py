@@ -9,7 +9,7 @@ from siltbed.llm import jaccard, language, lines, mixing, packing, queries
 from siltbed.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Dropped ids up to which they are sent to the scan; more are joined by hash.
+#: Rows of ids up to which they are sent to the scan; more are joined by hash.
 SENT = 1 << 20
 
 
@@ -43,8 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times."""
-    mixed = mixing.mix(docs, Scratch(spark, "mix")).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(mixed, "doc_id")
+    scratch = Scratch(spark, "mix")
+    mixed = scratch.save(mixing.mix(docs, scratch).where("copies > 0").select("doc_id", "copies"), "copies")
+    taken = docs.join(F.broadcast(mixed) if mixed.count() <= SENT else mixed, "doc_id")
     return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
