@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .ranks import numbered
 
+#: Generations that share a folder.
+SHARD = 64
+
 
 def sizes(log: DataFrame, every: int) -> DataFrame:
     """bucket, n_keys: distinct keys, deleted ones included, of each `every` log rows."""
@@ -54,5 +57,6 @@ def flushes(log: DataFrame, threshold: int) -> DataFrame:
 
 
 def write_runs(rows: DataFrame, path: str) -> None:
-    """Flush: a folder for each generation, its rows sorted by key."""
-    rows.repartition("generation").sortWithinPartitions("generation", "k").write.mode("append").partitionBy("generation").parquet(path)
+    """Flush: a folder for each SHARD generations, its rows sorted by generation and key, so small runs do not make a file each."""
+    sharded = rows.withColumn("shard", F.floor(F.col("generation") / SHARD).cast("long"))
+    sharded.repartition("shard").sortWithinPartitions("shard", "generation", "k").write.mode("append").partitionBy("shard").parquet(path)

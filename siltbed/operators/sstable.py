@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memtable import SHARD
 from .ranks import numbered, running
 
 #: Bytes of a record's and an index entry's fixed part, and of a single-file header.
@@ -49,8 +50,8 @@ def pruned_lookup(rows: DataFrame, bloom: DataFrame, probes: list[str], params:
     """probe, generation, zone_ok, bloom_ok, found for each probe and run.
 
     bloom has (generation, pos), params (generation, m, k). The pairs of a probe and a run that zone and filter let pass
-    are found first, and only they are joined to the rows: where these are stored by generation (memtable.write_runs), no other run is
-    read, and within a run the probes are pushed down to its row groups. found is 1 where the run has the key.
+    are found first, and only they are joined to the rows: where these are stored by generation (memtable.write_runs), no folder without
+    such a run is read, and within one the probes are pushed down to its row groups. found is 1 where the run has the key.
     """
     from .bloom import positions
 
@@ -64,7 +65,10 @@ def pruned_lookup(rows: DataFrame, bloom: DataFrame, probes: list[str], params:
     tested = zones.select("probe", "generation", "zone_ok").join(need, ["probe", "generation"]).join(have, ["probe", "generation"], "left")
     tested = tested.withColumn("bloom_ok", F.when(F.col("need") == F.col("have"), 1).otherwise(0))
     open_ = tested.where("zone_ok = 1 and bloom_ok = 1").select("probe", "generation")  # few: probes, and false positives
-    hits = rows.where(F.col("k").isin(probes)).withColumnRenamed("k", "probe").join(F.broadcast(open_), ["probe", "generation"])
+    on = ["probe", "generation"]
+    if "shard" in rows.columns:
+        open_, on = open_.withColumn("shard", F.floor(F.col("generation") / SHARD).cast("long")), [*on, "shard"]
+    hits = rows.where(F.col("k").isin(probes)).withColumnRenamed("k", "probe").join(F.broadcast(open_), on)
     hits = hits.select("probe", "generation", F.lit(1).alias("hit")).distinct()
     out = tested.join(hits, ["probe", "generation"], "left")
     return out.select("probe", "generation", "zone_ok", "bloom_ok", F.coalesce("hit", F.lit(0)).alias("found"))

@@ -160,11 +160,11 @@ def sst_summary_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sst_lookup_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs are written, a folder for each, and read from there."""
+    """The runs are written, and read from there."""
     folder = own_folder(spark, "runs")
     memtable.write_runs(_runs(spark, sf_dir), folder)
-    runs = spark.read.schema("k string, generation long").parquet(folder)
-    filters, sized = bloom.build(runs.withColumnRenamed("k", "key"), ["generation"], 50, 0.1)
+    runs = spark.read.schema("k string, generation long, shard long").parquet(folder)
+    filters, sized = bloom.build(runs.drop("shard").withColumnRenamed("k", "key"), ["generation"], 50, 0.1)
     return sstable.pruned_lookup(runs, filters, ORDERS, sized.select("generation", "m", "k"))
 
 
