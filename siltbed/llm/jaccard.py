@@ -19,6 +19,10 @@ PARTS = 64
 SKETCH = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Shingles that the sets of a cell have together, about.
 CELL = 1 << 20
+#: Hashes of shingles that a task counts at once, 8 bytes each.
+COUNTED = 1 << 21
+#: Rows of lists of leaders that a task holds at once.
+LISTED = 1 << 16
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -35,34 +39,141 @@ def _first(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and how often they occur in all parts, 2^32 - 1 at most."""
+    keys = np.concatenate([x for x, _ in held])
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], np.concatenate([x for _, x in held])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    sums = np.add.reduceat(times, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    return keys[first], np.minimum(sums, 2**32 - 1).astype(np.uint32)
+
+
+def _count(over: int, most: int = COUNTED):  # noqa: ANN202
+    """Rows (part, keys, times) sorted by part: (key, n) of the keys that occur more than `over` times."""
+
+    def result(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, times = _counted(held)
+        often = np.flatnonzero(times > over)
+        for i in range(0, len(often), 1 << 16):
+            own = often[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own].astype(np.int64)), pa.array(times[own].astype(np.int64))], names=["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, total = None, [], 0
+        for batch in batches:
+            for part, keys, times in zip(*(W.column_of(batch, c).to_pylist() for c in ("part", "keys", "times")), strict=True):
+                if part != now:
+                    if held:
+                        yield from result(held)
+                    now, held, total = part, [], 0
+                held.append((np.frombuffer(keys, np.uint32), np.frombuffer(times, np.uint32)))
+                total += len(held[-1][0])
+                if total >= most + len(held[0][0]):
+                    held = [_counted(held)]
+                    total = len(held[0][0])
+        if held:
+            yield from result(held)
+
+    return run
+
+
+def _pair_up(percent: int, over: int, chunk: int = LISTED):  # noqa: ANN202
+    """Rows (s, gid, n) sorted so: pairs (kind 0) of leaders that share a shingle and may link by size.
+
+    A list longer than 4 * over comes out as it is: shingle and leader (kind 1). Lists are read `chunk` rows at a time."""
+    names = ["a", "b", "kind"]
+
+    def out(a: np.ndarray, b: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 1 << 16):
+            own = a[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(b[i : i + (1 << 16)]), pa.array(np.full(len(own), kind, np.int8))], names=names)
+
+    def lists(s: np.ndarray, gid: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole lists."""
+        if not len(s):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        length = np.diff(np.concatenate([begin, [len(s)]]))
+        first = np.repeat(begin, length)
+        long = np.repeat(length > 4 * over, length)
+        yield from out(s[long], gid[long], 1)
+        a, b = [gid[:0]], [gid[:0]]
+        for step in range(1, int(min(length.max(), 4 * over))):
+            i = np.flatnonzero((first[step:] == first[:-step]) & ~long[step:])
+            i = i[100 * n[i].astype(np.int64) >= percent * n[i + step].astype(np.int64)]
+            a.append(gid[i])
+            b.append(gid[i + step])
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+        yield from out(a[keep], b[keep], 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, going = [], 0, None  # going: the shingle of a long list whose rows so far are out
+
+        def read(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, going
+            s, gid, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            known = int(np.searchsorted(s, going, "right")) if going is not None else 0
+            yield from out(s[:known], gid[:known], 1)
+            s, gid, n = s[known:], gid[known:], n[known:]
+            cut = len(s) if last or not len(s) else int(np.searchsorted(s, s[-1]))  # the last list may go on
+            yield from lists(s[:cut], gid[:cut], n[:cut])
+            s, gid, n = s[cut:], gid[cut:], n[cut:]
+            if len(s) > 4 * over:
+                going = s[0]
+                yield from out(s, gid, 1)
+                s, gid, n = s[:0], gid[:0], n[:0]
+            held = [(s, gid, n)]
+
+        for batch in batches:
+            held.append(tuple(W.column_of(batch, c).to_numpy() for c in ("s", "gid", "n")))
+            total += len(batch)
+            if total >= chunk:
+                yield from read(False)
+                total = len(held[0][0])
+        if held:
+            yield from read(True)
+
+    return run
+
+
 def frequent(docs: DataFrame, scratch: Scratch, size: int, over: int, share: float, most: int) -> np.ndarray:
     """Upper halves, sorted, of shingles that occur among the first `share` of over `over` documents.
 
     The set only fixes the order of shingles, so the join is right with any set; at most `most`, those
     above some frequency, are taken, 4 bytes each, which bounds what is sent to the executors.
+    Keys are counted before they are dealt out, so one of very many documents is few entries, and a task
+    adds up COUNTED entries at a time: it holds those and the different keys of its range, of 32 bits, alone.
     """
     session = docs.sparkSession
     n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [own[: int(len(own) * share) + 2] >> U(32) for _, own in _sets(batch, size)]
-            keys = np.sort(np.concatenate(found).astype(np.uint32)) if found else np.empty(0, np.uint32)
-            cut = np.searchsorted(keys, np.arange(1, n) * int(share * 1.2 * 2**32 / n))
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), W.binary([x.tobytes() for x in np.split(keys, cut)])], names=["part", "keys"])
+        bounds = np.arange(1, n) * int(share * 1.2 * 2**32 / n)
+
+        def flush() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            times = times.astype(np.uint32)
+            cut = np.searchsorted(keys, bounds)
+            return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), *(W.binary([x.tobytes() for x in np.split(y, cut)]) for y in (keys, times))], names=["part", "keys", "times"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held, total = [], 0
         for batch in batches:
-            for part, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(np.frombuffer(keys, np.uint32))
-        for part in list(held):
-            keys, times = np.unique(np.concatenate(held.pop(part)), return_counts=True)
-            often = times > over
-            yield pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=["key", "n"])
-
-    dealt = docs.mapInArrow(emit, "part int, keys binary").where("length(keys) > 0").repartition(n, "part")
-    rows = scratch.save(dealt.mapInArrow(count, "key long, n long"), "frequent")
+            for _, own in _sets(batch, size):
+                held.append((own[: int(len(own) * share) + 2] >> U(32)).astype(np.uint32))
+                total += len(held[-1])
+            if total >= COUNTED:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    dealt = docs.mapInArrow(emit, "part int, keys binary, times binary").where("length(keys) > 0").repartition(n, "part").sortWithinPartitions("part")
+    rows = scratch.save(dealt.mapInArrow(_count(over), "key long, n long"), "frequent")
     level = F.floor(F.log2("n") * 64).cast("int")
     counts = rows.groupBy(level.alias("level")).count().collect()  # a few hundred rows
     least, total = 0, 0
@@ -139,39 +250,8 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             each = [len(x) for x in rare]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare) if rare else [], pa.int64()), pa.array(np.repeat(gids, each)), pa.array(np.repeat(sizes, each).astype(np.int32))], names=["s", "gid", "n"])
 
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (kind 0) of leaders that share a shingle. A list longer than 4 * over comes out as it is: shingle and leader (kind 1)."""
-        held = pa.Table.from_batches([b for b in batches if len(b)] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32())], names=["s", "gid", "n"])])
-        s, gid, n = (held[c].to_numpy() for c in ("s", "gid", "n"))
-        order = np.lexsort((gid, n, s))
-        s, gid, n = s[order], gid[order], n[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-        begin = np.flatnonzero(new)
-        length = np.diff(np.concatenate([begin, [len(s)]]))
-        first = np.repeat(begin, length)
-        long = np.repeat(length > 4 * over, length)
-        for i in range(0, len(s), 1 << 16):
-            own = long[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][own]) for x in (s, gid, long.astype(np.int8))], names=["a", "b", "kind"])
-        a, b, kind = [gid[:0]], [gid[:0]], [np.zeros(0, np.int8)]
-        for step in range(1, int(min(length.max(initial=1), 4 * over))):
-            i = np.flatnonzero((first[step:] == first[:-step]) & ~long[step:])
-            i = i[100 * n[i].astype(np.int64) >= percent * n[i + step].astype(np.int64)]
-            a.append(gid[i])
-            b.append(gid[i + step])
-            kind.append(np.zeros(len(i), np.int8))
-        a, b, kind = np.concatenate(a), np.concatenate(b), np.concatenate(kind)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a, kind))
-        a, b, kind = a[order], b[order], kind[order]
-        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])]) if len(a) else np.empty(0, bool)
-        for i in range(0, len(a), 1 << 16):
-            own = keep[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)][own]) for x in (a, b, kind)], names=["a", "b", "kind"])
-
-    listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition("s")
-    found = scratch.save(listed.mapInArrow(pair_up, "a long, b long, kind byte"), "found")
+    listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition("s").sortWithinPartitions("s", "n", "gid")
+    found = scratch.save(listed.mapInArrow(_pair_up(percent, over), "a long, b long, kind byte"), "found")
     # Candidate pairs of groups, and pairs inside small groups, as pairs of members with a filter on counts.
     who = members.select("gid", "rep", "n", "sig", "sets")
     sides = base.select("doc_id", "sig", "parts", "sketch").dropDuplicates(["doc_id", "sig"])

@@ -1,4 +1,10 @@
 import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from siltbed.llm import jaccard
 
@@ -51,6 +57,48 @@ def copies(seed, base_words, groups, each, edits):
     return rows
 
 
+def batches(rows, names, types, sizes):
+    at = 0
+    for k in [*sizes, len(rows)]:
+        own = rows[at : at + k]
+        at += k
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], t) for i, t in enumerate(types)], names=names)
+
+
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(1, 40), st.integers(8, 12)), max_size=120, unique_by=lambda r: r[:2]), st.integers(1, 40), st.lists(st.integers(0, 9), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_lists_in_parts_give_the_pairs_of_whole_lists(rows, chunk, sizes):
+    rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+    found, lists = set(), Counter()
+    for out in jaccard._pair_up(80, 2, chunk)(batches(rows, ["s", "gid", "n"], [pa.int64(), pa.int64(), pa.int32()], sizes)):
+        for a, b, kind in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True):
+            if kind:
+                lists[a, b] += 1
+            else:
+                found.add((a, b))
+    of = {}
+    for s, gid, n in rows:
+        of.setdefault(s, []).append((gid, n))
+    assert lists == Counter((s, gid) for s, own in of.items() if len(own) > 8 for gid, _ in own)
+    assert found == {(min(a, b), max(a, b)) for own in of.values() if len(own) <= 8 for i, (a, n) in enumerate(own) for b, m in own[i + 1 :] if 100 * n >= 80 * m}
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 20), max_size=30)), max_size=12), st.integers(1, 50))
+@settings(max_examples=100, deadline=None)
+def test_frequent_keys_are_counted_in_parts(rows, most):
+    rows = [(p, *(y.astype(np.uint32).tobytes() for y in np.unique(np.array(keys, np.uint32), return_counts=True))) for p, keys in sorted(rows)]
+    out = jaccard._count(2, most)(batches(rows, ["part", "keys", "times"], [pa.int32(), pa.binary(), pa.binary()], [1, 2]))
+    found = Counter()
+    want = {}
+    for own in out:
+        for key, n in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+            found[key, n] += 1
+    for part, keys, times in rows:
+        for k, n in zip(np.frombuffer(keys, np.uint32).tolist(), np.frombuffer(times, np.uint32).tolist(), strict=True):
+            want.setdefault(part, Counter())[k] += n
+    assert found == Counter((k, n) for own in want.values() for k, n in own.items() if n > 2)
+
+
 def test_small_groups(spark, scratch):
     check(spark, scratch, copies(1, 40, 40, 4, 4))
 
