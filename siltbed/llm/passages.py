@@ -19,9 +19,17 @@ U = np.uint64
 HITS = "kind byte, x long, y long, xl int, xc int, xr int, yl int, yc int, yr int, v long"
 #: Windows that a task holds before it looks for equal ones, or for those that meet.
 HELD = 1 << 18
-#: Places around a window's minimum whose shingles are its contexts. A passage covers half of them or more, so one
-#: that is wider than a phrase of many documents has a context outside of the phrase, as a rule.
-PLACES = tuple(d for d in range(-45, 46, 9) if d)
+#: Shingles whose hash is one context of a window, and where these begin, counted from the window's minimum: what lies up to
+#: 45 shingles off is covered without a gap, so windows that differ there differ in a context.
+SEGMENT = 5
+PLACES = (*range(-45, 0, SEGMENT), *range(1, 46, SEGMENT))
+REACH = 45
+#: Contexts that a passage of the least width agrees in, wherever its minimum and one edited word are.
+STRONG = 5
+#: Classes of a value that are all compared with each other; more are first split by their contexts, where that helps.
+GROUP = 1 << 10
+#: Comparisons that are held at once.
+AT_ONCE = 1 << 17
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -55,24 +63,122 @@ def _classes(v: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
-def _star(v: np.ndarray, near: np.ndarray, doc: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(own: np.ndarray) -> np.ndarray:
+    """The hash of the SEGMENT shingles from each place on, the first REACH places before the text; 0 if all are beyond its ends."""
+    beside = np.concatenate([np.zeros(REACH, U), own, np.zeros(REACH + SEGMENT, U)])
+    out = np.zeros(len(own) + 2 * REACH + 1, U)
+    for k in range(SEGMENT):
+        out = W.mix(out * U(31) + beside[k : k + len(out)])
+    out = np.maximum((out >> U(48)).astype("<u2"), 1)
+    out[: REACH - SEGMENT + 1] = 0
+    out[REACH + len(own) :] = 0
+    return out
+
+
+def _masks(near: np.ndarray, low: int, high: int) -> np.ndarray:
+    """For each group (first axis) and each of its windows low..high-1 with those up to high a bit for each context in which
+    these agree, but not all of the group."""
+    out = np.zeros((len(near), high - low, high), np.int32)
+    for k in range(near.shape[2]):
+        own = near[:, :, k]
+        some = np.flatnonzero((own != own[:, :1]).any(1))
+        if len(some):
+            own = own[some].astype(np.int32)
+            own = np.where(own, own, -1 - np.arange(own.shape[1], dtype=np.int32))  # 0 stands for a place beyond the text's ends
+            same = (own[:, low:high, None] == own[:, None, :high]) * np.int32(1 << k)
+            if len(some) == len(out):
+                out |= same
+            else:
+                out[some] |= same
+    return out
+
+
+def _widest(row: np.ndarray, other: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other): of each row, sorted with its others, the first one of each mask that no other mask of the row contains."""
+    key = row.astype(np.int64) << len(PLACES) | mask
+    _, first = np.unique(key, return_index=True)
+    row, other, mask = row[first], other[first], mask[first]
+    begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(begins, len(row)))
+    begin, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+    keep = np.ones(len(row), bool)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, "right")))
+        a = np.repeat(np.arange(low, high), size[low:high])
+        steps = np.cumsum(size[low:high]) - size[low:high]
+        b = begin[a] + np.arange(len(a)) - np.repeat(steps, size[low:high])
+        keep[a[(a != b) & (mask[a] & ~mask[b] == 0)]] = False
+        low = high
+    return row[keep], other[keep]
+
+
+def _parts(near: np.ndarray, rows: np.ndarray, least: int) -> list[tuple[np.ndarray, int]]:
+    """Rows of one value of a context, for all values and the contexts from least on, but those in which all rows agree."""
+    out = []
+    for k in range(least, near.shape[1]):
+        own = near[rows, k]
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order])) + 1
+        edges = np.concatenate([[0], cuts, [len(rows)]])
+        if len(cuts):
+            out += [(rows[order[a:b]], k + 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 and own[order[a]]]
+    return out
+
+
+def _linked(near: np.ndarray, doc: np.ndarray, groups: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of windows of one group, j's document before i's: the first j of each set of contexts in which i agrees with a j,
+    but for sets within others. So for each stretch around i the earliest window that has it all.
+
+    All windows of a group are compared. One of more than GROUP is split by each context before, where this leaves a quarter
+    of the comparisons at most: windows that agree in no more than all of their group do are linked with its first one."""
+    by_size: dict[int, list[np.ndarray]] = {}
+    todo = [(x, 0) for x in groups]
+    while todo:
+        rows, least = todo.pop()
+        if least:
+            yield rows, np.full(len(rows), rows[0])
+        if len(rows) > GROUP:
+            parts = _parts(near, rows, least)
+            if 4 * sum(len(x) ** 2 for x, _ in parts) <= len(rows) ** 2:
+                todo += parts
+                continue
+        by_size.setdefault(len(rows), []).append(rows)
+    for size, found in by_size.items():
+        table = np.array(found)
+        step = max(1, AT_ONCE // (size * size))
+        block = size if size * size <= AT_ONCE else max(1, AT_ONCE // size)
+        for at in range(0, len(table), step):
+            own = table[at : at + step]
+            contexts = near[own]
+            for low in range(0, size, block):
+                high = min(low + block, size)
+                mask = _masks(contexts, low, high)
+                g, i, j = np.nonzero(mask * np.tri(high - low, high, low - 1, dtype=bool))
+                mask = mask[g, i, j]
+                i += low
+                pick = doc[own[g, i]] != doc[own[g, j]]
+                row, other = _widest((g * size + i)[pick], j[pick], mask[pick])
+                yield own[row // size, row % size], own[row // size, other]
+
+
+def _star(v: np.ndarray, near: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of windows with one value, i's document after j's; rows are sorted by document and place.
 
-    j is the first window of the class, of the value, and of the value and any one context. So two documents that agree
-    beyond a phrase which many others have meet at a context outside of it. Linear in the windows, but for sorting."""
+    j is the first window of the class, of the value, and, for the first of a class, those of _linked. So two documents that
+    agree beyond a phrase which many others have meet, whichever part of their passage others have, too."""
     every = np.arange(len(v))
     first = _first(_classes(v, near))
     i, j = [every, every], [_first(v), first]
     firsts = np.flatnonzero(first == every)
     # Where a value has two classes at most, the links above are all.
-    _, own, count = np.unique(v[firsts], return_inverse=True, return_counts=True)
-    rest = firsts[count[own] > 2]
-    value, near = v[rest].view(U), near[rest].astype(U)
-    for k in range(near.shape[1] if len(rest) else 0):
-        some = np.flatnonzero(near[:, k])  # 0 stands for a place beyond the text's ends
-        if len(some):
-            i.append(rest[some])
-            j.append(rest[some][_first(W.mix(value[some] * U(31) + near[some, k]))])
+    firsts = firsts[np.argsort(v[firsts], kind="stable")]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(v[firsts]) != 0, [True]])) if len(firsts) else np.zeros(1, int)
+    groups = [firsts[edges[k] : edges[k + 1]] for k in np.flatnonzero(np.diff(edges) > 2)]
+    for a, b in _linked(near, doc, groups):
+        i.append(a)
+        j.append(b)
     i, j = np.concatenate(i), np.concatenate(j)
     pick = doc[i] != doc[j]
     both = np.unique(i[pick].astype(np.int64) * len(v) + j[pick])
@@ -154,14 +260,13 @@ def near_passages(docs: DataFrame, scratch: Scratch, *, size: int = 5, percent:
             for row, own in shingles(batch):
                 if len(own) < least:
                     continue
-                reach = max(PLACES)
-                beside = np.concatenate([np.zeros(reach, "<u2"), np.maximum((own >> U(33)).astype("<u2"), 1), np.zeros(reach, "<u2")])
+                beside = _contexts(own)
                 for k, seed in enumerate(seeds):
                     values = W.mix(own ^ seed)
                     spans = np.array(compact_windows(values, least), np.int32)
                     c = spans[:, 1]
                     v = ((values[c] & ~U(15)) | U(k)).view(np.int64)
-                    held.append((v, beside[c[:, None] + np.array(PLACES) + reach], np.full(len(c), ids[row], np.int64), spans))
+                    held.append((v, beside[c[:, None] + np.array(PLACES) + REACH], np.full(len(c), ids[row], np.int64), spans))
                     total += len(c)
             if total >= HELD:
                 yield from flush()
@@ -183,10 +288,11 @@ def near_passages(docs: DataFrame, scratch: Scratch, *, size: int = 5, percent:
             near = _unpacked(W.column_of(rows, "ctx").combine_chunks())
             order = np.lexsort((spans[:, 0], doc))
             v, doc, kind, spans, near = v[order], doc[order], kind[order], spans[order], near[order]
-            i, j = _star(v, near, doc, spans)
+            i, j = _star(v, near, doc)
             for k in range(0, len(i), 1 << 16):
                 a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                yield _batch(kind=np.zeros(len(a), np.int8), x=doc[a], y=doc[b], **dict(zip(("xl", "xc", "xr"), spans[a].T, strict=True)), **dict(zip(("yl", "yc", "yr"), spans[b].T, strict=True)), v=v[a]).select(names)
+                strong = ((near[a] == near[b]) & (near[a] != 0)).sum(1) >= STRONG
+                yield _batch(kind=np.zeros(len(a), np.int8), x=doc[a], y=doc[b], **dict(zip(("xl", "xc", "xr"), spans[a].T, strict=True)), **dict(zip(("yl", "yc", "yr"), spans[b].T, strict=True)), v=v[a] | (strong * 8)).select(names)
             whole = _classes(v, near)
             first = _first(whole)
             k = np.unique(first[kind == 1])
@@ -220,11 +326,13 @@ def near_passages(docs: DataFrame, scratch: Scratch, *, size: int = 5, percent:
     dealt = made.repartition(parts, F.when(F.col("kind") == 2, F.col("x")).otherwise(F.col("v"))).sortWithinPartitions("v")
     met = scratch.save(dealt.mapInArrow(meet, HITS), "met")
     heads = met.where("kind = 1").select("v", "y", "yl", "yc", "yr")
-    others = met.where("kind = 2").select("x", "xl", "xc", "xr", "v").join(heads, "v").where("x != y")
+    others = met.where("kind = 2").select("x", "xl", "xc", "xr", "v").join(heads, "v").where("x != y").withColumn("v", F.col("v").bitwiseOR(F.lit(8)))
     both = met.where("kind = 0").select("x", "y", "xl", "xc", "xr", "yl", "yc", "yr", "v").unionByName(others)
     hit = F.struct("xl", "xc", "xr", "yl", "yc", "yr", F.col("v").bitwiseAND(F.lit(15)).cast("int").alias("k"))
-    pairs = both.groupBy("x", "y").agg(F.collect_list(hit).alias("hits")).where(F.size(F.array_distinct("hits.k")) >= enough)
+    pairs = both.groupBy("x", "y").agg(F.collect_list(hit).alias("hits"))
+    pairs = pairs.where((F.array_max("hits.k") >= 8) | (F.size(F.array_distinct("hits.k")) >= enough))
     pairs = scratch.save(pairs, "pairs")
+    scratch.drop("met")
     needed = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "needed")
     if needed.count() <= known:
         ids = spark.sparkContext.broadcast(np.sort(needed.toArrow()["id"].to_numpy()))
@@ -269,19 +377,22 @@ def runs(shared: np.ndarray, least: int, percent: int) -> Iterator[tuple[int, in
 
 
 def _verify(least: int, size: int, percent: int, enough: int):  # noqa: ANN202
-    def regions(hits: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-        """Overlapping windows of both documents, by their diagonal, that `enough` hash functions gave."""
-        rows = sorted(((h["xc"] - h["yc"]) // 16, h["xl"], h["xr"], h["yl"], h["yr"], h["k"]) for h in hits)
+    def regions(hits: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Overlapping windows of both documents, by their diagonal, that `enough` hash functions gave, or one with STRONG contexts."""
+        diagonal = (hits[:, 1] - hits[:, 4]) // 16
+        order = np.lexsort((hits[:, 0], diagonal))
+        rows = np.column_stack([diagonal, hits[:, [0, 2, 3, 5, 6]]])[order].tolist()
         k = 0
         while k < len(rows):
             near, xl, xr, yl, yr, _ = rows[k]
-            kinds = set()
+            kinds, strong = set(), False
             while k < len(rows) and rows[k][0] - near <= 1 and rows[k][1] <= xr:
-                near, _, r, l2, r2, kind = rows[k]
-                xr, yl, yr = max(xr, r), min(yl, l2), max(yr, r2)
-                kinds.add(kind)
+                near, l, r, l2, r2, kind = rows[k]
+                xl, xr, yl, yr = min(xl, l), max(xr, r), min(yl, l2), max(yr, r2)  # the next diagonal's windows may begin earlier
+                kinds.add(kind & 7)
+                strong |= kind >= 8
                 k += 1
-            if len(kinds) >= enough:
+            if strong or len(kinds) >= enough:
                 yield xl, xr + 1, yl, yr + 1
 
     def match(mine: np.ndarray, other: np.ndarray, places: np.ndarray, shared: np.ndarray) -> tuple[int, int, int, float]:
@@ -300,7 +411,11 @@ def _verify(least: int, size: int, percent: int, enough: int):  # noqa: ANN202
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y, hits, xs, ys in zip(*(W.column_of(batch, c).to_pylist() for c in ("x", "y", "hits", "xs", "ys")), strict=True):
+            every = W.column_of(batch, "hits")
+            begins, every = every.offsets.to_numpy(), every.values
+            every = np.column_stack([every.field(k).to_numpy() for k in range(7)])
+            for n, (x, y, xs, ys) in enumerate(zip(*(W.column_of(batch, c).to_pylist() for c in ("x", "y", "xs", "ys")), strict=True)):
+                hits = every[begins[n] : begins[n + 1]]
                 xs, ys = np.frombuffer(xs, "<u4"), np.frombuffer(ys, "<u4")
                 done: list[tuple[int, int]] = []
                 for a, b, c, d in regions(hits):

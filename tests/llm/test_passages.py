@@ -127,3 +127,81 @@ def test_runs_are_the_longest():
         best = max(((j - i) for i in range(60) for j in range(i + 20, 61) if shared[i] and shared[j - 1] and 20 * shared[i:j].sum() >= 160 * (~shared[i:j]).sum()), default=0)
         found = [b - a for a, b in passages.runs(shared, 20, 80)]
         assert (found[0] if found else 0) == best
+
+
+def exact(rows):
+    """Words of each document within a stretch of 46 shingles or more of which enough are an earlier document's, by brute force."""
+    import numpy as np
+
+    words = {i: t.lower().split() for i, t, *_ in rows}
+    own = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in words.items()}
+    out = {}
+    for x in own:
+        for y in own:
+            if y >= x or len(set(own[x]) & set(own[y])) < 37:
+                continue
+            place = {s: k for k, s in enumerate(own[y])}
+            for a, b in passages.runs(np.array([s in place for s in own[x]]), 46, 80):
+                at = [place[s] for s in own[x][a:b] if s in place]
+                mine, other = set(own[x][a:b]), set(own[y][min(at) : max(at) + 1])
+                if len(mine & other) >= 0.8 * len(mine | other):
+                    out.setdefault(x, set()).update(range(a, b + 4))
+    return out
+
+
+def lost(spark, scratch, rows):
+    """(documents with passages, those of which words of passages are in no row)."""
+    left = exact(rows)
+    whole = len(left)
+    for r in passages.near_passages(documents(spark, rows), scratch).collect():
+        if r["doc_id"] in left:
+            left[r["doc_id"]] -= set(range(r["start"], r["end"]))
+    return whole, sorted(x for x in left if left[x])
+
+
+def test_passages_of_a_template_with_two_slots(spark, scratch):
+    """All documents share three phrases, but only those with both slots alike have a passage in common."""
+    rng = random.Random(7)
+    a, b, c = (text(rng, 17) for _ in range(3))
+    slots = [[[f"slot{n}x{k}x{w}" for w in range(2)] for k in range(12)] for n in range(2)]
+    rows = [(i, " ".join([*text(rng, 60), *a, *rng.choice(slots[0]), *b, *rng.choice(slots[1]), *c, *text(rng, 60)]), "en", "a") for i in range(300)]
+    whole, without = lost(spark, scratch, rows)
+    assert whole > 100 and not without
+
+
+def test_windows_on_several_diagonals(spark, scratch):
+    """A word more and a word less move the windows of one passage to the next diagonal, which begin before those of the first one."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        own = text(rng, 360)
+        other = list(own)
+        other.insert(200, f"more{k}")
+        del other[300:303]
+        other.insert(120, f"more{k}")
+        rows += [(2 * k, " ".join(own), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    whole, without = lost(spark, scratch, rows)
+    assert whole == 40 and not without
+
+
+def test_links_of_large_groups_are_those_of_all_comparisons(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 4, (90, len(passages.PLACES))).astype("<u2")
+    near[:, 4] = 7
+    doc = np.sort(rng.integers(0, 60, 90))
+    every = np.arange(90)
+    want = set()
+    for i in every:
+        sets = {}
+        for j in every[:i]:
+            if doc[i] != doc[j]:
+                sets.setdefault(frozenset(np.flatnonzero((near[i] == near[j]) & (near[i] != 0)).tolist()), j)
+        want |= {(i, j) for m, j in sets.items() if len(m) > 1 and not any(m < n for n in sets)}
+    found = set()
+    for group, at_once in ((1 << 10, 1 << 17), (1 << 10, 1 << 8), (20, 1 << 10)):
+        monkeypatch.setattr(passages, "GROUP", group)
+        monkeypatch.setattr(passages, "AT_ONCE", at_once)
+        found = {(int(i), int(j)) for a, b in passages._linked(near, doc, [every]) for i, j in zip(a, b, strict=True) if doc[i] != doc[j]}
+        assert want <= found
