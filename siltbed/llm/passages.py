@@ -215,12 +215,13 @@ def near_passages(docs: DataFrame, scratch: Scratch, *, size: int = 5, percent:
     of_doc_id, a document with a smaller id.
 
     For each of `hashes` hash functions a text's shingles give compact windows of words - size + 1 or more shingles. Windows
-    that share a minimum hash are joined to the first document that has it, alone, with each shingle of PLACES around it as
-    context, and with all of these (its class). So a passage in very many documents costs each of them a few rows, and one
-    around a phrase of very many documents still meets its like. A task passes on the contexts of one window of a class alone;
+    that share a minimum hash are joined to the first document that has it, to the first one that has all contexts, too (its
+    class), and to the first one of each widest set of contexts they agree in. So a passage in very many documents costs each of
+    them a few rows, and is reported with some of these, not all. A task passes on the contexts of one window of a class alone;
     the others are joined to the first one of their class afterwards, so the result does not depend on how rows are dealt out.
-    A pair of documents goes on where windows of `enough` hash functions overlap; there the shingles of both are
-    compared, and the longest stretches with percent of them shared are cut out.
+    A pair of documents goes on where windows of `enough` hash functions overlap, or those of one agree in STRONG contexts; there
+    the shingles of both are compared, and the longest stretches with percent of them shared are cut out. What none of the
+    functions has in common, and agreement that is only within the shingles of one context, may be missed.
 
     Texts of fewer words, null texts and rows with a null doc_id have no passages; rows with equal ids
     count as one document, of which one text is compared. Columns other than doc_id and text are not read.
