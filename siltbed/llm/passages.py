@@ -26,8 +26,8 @@ PLACES = (*range(-45, 0, SEGMENT), *range(1, 46, SEGMENT))
 REACH = 45
 #: Contexts that a passage of the least width agrees in, wherever its minimum and one edited word are.
 STRONG = 5
-#: Classes of a value that are all compared with each other; more are first split by their contexts, where that helps.
-GROUP = 1 << 10
+#: Windows that are all compared with each other; more are first split by their contexts, where that helps.
+GROUP = 1 << 7
 #: Comparisons that are held at once.
 AT_ONCE = 1 << 17
 
@@ -77,14 +77,14 @@ def _contexts(own: np.ndarray) -> np.ndarray:
 
 def _masks(near: np.ndarray, low: int, high: int) -> np.ndarray:
     """For each group (first axis) and each of its windows low..high-1 with those up to high a bit for each context in which
-    these agree, but not all of the group."""
+    these agree; 0 agrees with nothing."""
     out = np.zeros((len(near), high - low, high), np.int32)
     for k in range(near.shape[2]):
         own = near[:, :, k]
-        some = np.flatnonzero((own != own[:, :1]).any(1))
+        some = np.flatnonzero(own.any(1))
         if len(some):
             own = own[some].astype(np.int32)
-            own = np.where(own, own, -1 - np.arange(own.shape[1], dtype=np.int32))  # 0 stands for a place beyond the text's ends
+            own = np.where(own, own, -1 - np.arange(own.shape[1], dtype=np.int32))
             same = (own[:, low:high, None] == own[:, None, :high]) * np.int32(1 << k)
             if len(some) == len(out):
                 out |= same
@@ -114,53 +114,155 @@ def _widest(row: np.ndarray, other: np.ndarray, mask: np.ndarray) -> tuple[np.nd
     return row[keep], other[keep]
 
 
-def _parts(near: np.ndarray, rows: np.ndarray, least: int) -> list[tuple[np.ndarray, int]]:
-    """Rows of one value of a context, for all values and the contexts from least on, but those in which all rows agree."""
-    out = []
-    for k in range(least, near.shape[1]):
-        own = near[rows, k]
-        order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.diff(own[order])) + 1
-        edges = np.concatenate([[0], cuts, [len(rows)]])
-        if len(cuts):
-            out += [(rows[order[a:b]], k + 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1 and own[order[a]]]
+def _shared(near: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The contexts, but 0 for those that no other row of the group has or all rows of it have."""
+    sizes = np.bincount(group)[group]
+    out = np.zeros(near.shape, near.dtype)
+    for k in range(near.shape[1]):
+        _, own, count = np.unique(group << 16 | near[:, k], return_inverse=True, return_counts=True)
+        count = count[own]
+        np.copyto(out[:, k], near[:, k], where=(count > 1) & (count < sizes))
+    return out
+
+
+def _agree(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows a bit for each context in which these agree."""
+    out = np.zeros(len(i), np.int32)
+    for k in range(own.shape[1]):
+        a = own[i, k]
+        out |= ((a == own[j, k]) & (a != 0)) * np.int32(1 << k)
     return out
 
 
+def _compared(own: np.ndarray, doc: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of groups of one size, a group's rows in each row of the table, by comparing all of them."""
+    size = table.shape[1]
+    step = max(1, AT_ONCE // (size * size))
+    block = size if size * size <= AT_ONCE else max(1, AT_ONCE // size)
+    for at in range(0, len(table), step):
+        rows = table[at : at + step]
+        contexts = own[rows]
+        for low in range(0, size, block):
+            high = min(low + block, size)
+            mask = _masks(contexts, low, high)
+            g, i, j = np.nonzero(mask * np.tri(high - low, high, low - 1, dtype=bool))
+            mask = mask[g, i, j]
+            i += low
+            pick = doc[rows[g, i]] != doc[rows[g, j]]
+            row, other = _widest((g * size + i)[pick], j[pick], mask[pick])
+            yield rows[row // size, row % size], rows[row // size, other]
+
+
+def _split(own: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(mask, parts, sizes): a bit for each context in which a row has its group's most frequent value, and the rows of each other
+    value that two rows have, of all contexts one after another, but those that all have one such value beside it, too."""
+    n, places = len(rows), own.shape[1]
+    own = own[rows]
+    mask, count, orders, edges = np.zeros(n, np.int32), np.zeros((n, places), np.int64), [], []
+    for k in range(places):
+        order = np.argsort(own[:, k], kind="stable")
+        value = own[order, k]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [n]])
+        size = np.diff(edge) * (value[edge[:-1]] != 0)
+        most = int(size.argmax())
+        if size[most]:
+            mask[order[edge[most] : edge[most + 1]]] |= np.int32(1 << k)
+            size[most] = 0
+        count[order, k] = np.repeat(size, np.diff(edge))
+        orders.append(order)
+        edges.append(edge)
+    parts, sizes = [], []
+    for k, (order, edge) in enumerate(zip(orders, edges, strict=True)):
+        begin = edge[:-1]
+        size = count[order[begin], k]
+        keep = size > 1
+        for beside in (k - 1, k + 1):
+            if 0 <= beside < places:
+                value = own[order, beside]
+                same = np.minimum.reduceat(value, begin) == np.maximum.reduceat(value, begin)
+                other = count[order[begin], beside]
+                keep &= ~(same & ((other > size) | ((other == size) & (beside < k))))
+        if keep.any():
+            parts.append(rows[order[np.repeat(keep, np.diff(edge))]])
+            sizes.append(size[keep])
+    return mask, parts, np.concatenate([np.empty(0, np.int64), *sizes])
+
+
+def _by_mask(mask: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows sorted by document, as _compared's, where two rows agree in what both of their masks have."""
+    every, first = np.unique(mask, return_index=True)
+    order = np.argsort(first)
+    every, first = every[order], first[order]
+    known = np.searchsorted(doc[first], doc)  # so many masks are of earlier documents
+    by_mask = np.argsort(mask, kind="stable")
+    begin = np.searchsorted(mask[by_mask], every)
+    end = np.searchsorted(mask[by_mask], every, "right")
+    rows, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, own in enumerate(every):
+        mine = by_mask[begin[n] : end[n]]
+        both, at = np.unique(every[: known[mine[-1]]] & own, return_index=True)
+        both, at = both[both != 0], at[both != 0]
+        # Each is one of the widest from its first row on, until a row has more.
+        until = np.full(len(both), len(every))
+        for low in range(0, len(both), step := max(1, AT_ONCE // max(len(both), 1))):
+            less = both[low : low + step, None]
+            until[low : low + step] = np.where((less & ~both == 0) & (less != both), at, len(every)).min(1, initial=len(every))
+        a, b = np.searchsorted(known[mine], at, "right"), np.searchsorted(known[mine], until, "right")
+        size = np.maximum(b - a, 0)
+        rows.append(mine[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        others.append(first[np.repeat(at, size)])
+    return np.concatenate(rows), np.concatenate(others)
+
+
 def _linked(near: np.ndarray, doc: np.ndarray, groups: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of windows of one group, j's document before i's: the first j of each set of contexts in which i agrees with a j,
-    but for sets within others. So for each stretch around i the earliest window that has it all.
-
-    All windows of a group are compared. One of more than GROUP is split by each context before, where this leaves a quarter
-    of the comparisons at most: windows that agree in no more than all of their group do are linked with its first one."""
-    by_size: dict[int, list[np.ndarray]] = {}
-    todo = [(x, 0) for x in groups]
-    while todo:
-        rows, least = todo.pop()
-        if least:
-            yield rows, np.full(len(rows), rows[0])
-        if len(rows) > GROUP:
-            parts = _parts(near, rows, least)
-            if 4 * sum(len(x) ** 2 for x, _ in parts) <= len(rows) ** 2:
-                todo += parts
-                continue
-        by_size.setdefault(len(rows), []).append(rows)
-    for size, found in by_size.items():
-        table = np.array(found)
-        step = max(1, AT_ONCE // (size * size))
-        block = size if size * size <= AT_ONCE else max(1, AT_ONCE // size)
-        for at in range(0, len(table), step):
-            own = table[at : at + step]
-            contexts = near[own]
-            for low in range(0, size, block):
-                high = min(low + block, size)
-                mask = _masks(contexts, low, high)
-                g, i, j = np.nonzero(mask * np.tri(high - low, high, low - 1, dtype=bool))
-                mask = mask[g, i, j]
-                i += low
-                pick = doc[own[g, i]] != doc[own[g, j]]
-                row, other = _widest((g * size + i)[pick], j[pick], mask[pick])
-                yield own[row // size, row % size], own[row // size, other]
+    but for sets within others and contexts that all of the group have. So for each stretch around i the earliest window that has it all.
+
+    What this gives is what comparing all windows of a group gives. Windows alike in all that others of the group have are
+    compared once. Those of a group of more than GROUP have, in each context, its most frequent value or another one: pairs that
+    agree in frequent values alone are found by the masks of these, the others within the windows of each other value, where
+    these leave half of the comparisons at most."""
+    if not groups:
+        return
+    rows, group = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(x) for x in groups])
+    own, doc = _shared(near[rows], group), doc[rows]
+    some = np.flatnonzero(own.any(1))
+    rows, group, own, doc = rows[some], group[some], own[some], doc[some]
+    # Of a class the first window and the first one of a later document, which all others of these are linked as.
+    first = _first(_classes(group, own))
+    later = np.flatnonzero(doc != doc[first])
+    first[later] = later[_first(first[later])]
+    alone = np.flatnonzero(first == np.arange(len(rows)))
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(group[alone]) != 0, [True]])) if len(alone) else np.zeros(1, int)
+    sizes = np.diff(edges)
+    pairs, wide = [(np.empty(0, np.int64), np.empty(0, np.int64))], []
+    for at in np.flatnonzero(sizes > GROUP):
+        mine = alone[edges[at] : edges[at + 1]]
+        mask, parts, counts = _split(own, mine)
+        if 2 * int((counts**2).sum()) > len(mine) ** 2:
+            pairs += _compared(own, doc, mine[None])
+            continue
+        i, j = _by_mask(mask, doc[mine])
+        wide.append((mine[i], mine[j]))
+        if parts:
+            parts = np.concatenate(parts)
+            begin = np.cumsum(counts) - counts
+            wide.append((parts, np.repeat(parts[begin], counts)))
+            wide += _linked(own, doc, np.split(parts, begin[1:]))
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= GROUP)]):
+        pairs += _compared(own, doc, alone[edges[:-1][sizes == size][:, None] + np.arange(size)])
+    if wide:
+        i, j = (np.concatenate(x) for x in zip(*wide, strict=True))
+        both = np.unique((i * len(rows) + j)[doc[i] != doc[j]])
+        i, j = both // len(rows), both % len(rows)
+        pairs.append(_widest(i, j, _agree(own, i, j)))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    begin = np.searchsorted(i, first)
+    size = np.searchsorted(i, first, "right") - begin
+    at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    yield rows[np.repeat(np.arange(len(rows)), size)], rows[j[at]]
 
 
 def _star(v: np.ndarray, near: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -205,3 +205,33 @@ def test_links_of_large_groups_are_those_of_all_comparisons(monkeypatch):
         monkeypatch.setattr(passages, "AT_ONCE", at_once)
         found = {(int(i), int(j)) for a, b in passages._linked(near, doc, [every]) for i, j in zip(a, b, strict=True) if doc[i] != doc[j]}
         assert want <= found
+
+
+def test_large_groups_are_not_compared_in_full(monkeypatch):
+    """Windows of a passage that documents repeat with edits: the links of all comparisons, with a small part of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n, places = 2000, len(passages.PLACES)
+    near = np.full((n, places), 7, "<u2")
+    for _ in range(2):
+        at = rng.integers(0, places, n)
+        near[np.arange(n), at] = np.where(rng.random(n) < 0.5, 100 + rng.integers(0, 40, n), 1000 + np.arange(n))
+    near[np.arange(places) < rng.integers(0, 4, n)[:, None]] = 0
+    doc = np.sort(rng.integers(0, 200, n))
+    want = set()
+    for i in range(n):
+        before = int(np.searchsorted(doc, doc[i]))
+        masks = ((near[:before] == near[i]) & (near[i] != 0)) @ (1 << np.arange(places))
+        each, first = np.unique(masks, return_index=True)
+        want |= {(i, int(j)) for m, j in zip(each, first, strict=True) if m and not ((each & m == m) & (each != m)).any()}
+    compared, masks_of = 0, passages._masks
+
+    def counted(near, low, high):
+        nonlocal compared
+        compared += len(near) * (high - low) * high
+        return masks_of(near, low, high)
+
+    monkeypatch.setattr(passages, "_masks", counted)
+    found = {(int(i), int(j)) for a, b in passages._linked(near, doc, [np.arange(n)]) for i, j in zip(a, b, strict=True)}
+    assert found == want and compared < n * n / 10
