@@ -172,8 +172,8 @@ def frequent(docs: DataFrame, scratch: Scratch, size: int, over: int, share: flo
         if held:
             yield flush()
 
-    dealt = docs.mapInArrow(emit, "part int, keys binary, times binary").where("length(keys) > 0").repartition(n, "part").sortWithinPartitions("part")
-    rows = scratch.save(dealt.mapInArrow(_count(over), "key long, n long"), "frequent")
+    dealt = docs.mapInArrow(W.lean(emit), "part int, keys binary, times binary").where("length(keys) > 0").repartition(n, "part").sortWithinPartitions("part")
+    rows = scratch.save(dealt.mapInArrow(W.lean(_count(over)), "key long, n long"), "frequent")
     level = F.floor(F.log2("n") * 64).cast("int")
     counts = rows.groupBy(level.alias("level")).count().collect()  # a few hundred rows
     least, total = 0, 0
@@ -234,7 +234,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             yield pa.RecordBatch.from_arrays([W.column_of(batch, "doc_id"), pa.array(out[0], pa.int64()), *(W.binary(x) for x in out[1:6]), pa.array(out[6], pa.list_(pa.int64()))], names=names)
 
     names = ["doc_id", "n", "sig", "parts", "key", "rare", "often", "sketch"]
-    base = scratch.save(docs.mapInArrow(prefixes, "doc_id long, n long, sig binary, parts binary, key binary, rare binary, often binary, sketch array<long>"), "base")
+    base = scratch.save(docs.mapInArrow(W.lean(prefixes), "doc_id long, n long, sig binary, parts binary, key binary, rare binary, often binary, sketch array<long>"), "base")
     full = base.where("n > 0 and doc_id is not null")
     # Members: the different sets of each group, by their smallest document.
     members = full.groupBy("n", "key", "sig").agg(F.min("doc_id").alias("rep"))
@@ -250,8 +250,8 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             each = [len(x) for x in rare]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare) if rare else [], pa.int64()), pa.array(np.repeat(gids, each)), pa.array(np.repeat(sizes, each).astype(np.int32))], names=["s", "gid", "n"])
 
-    listed = leaders.select("gid", "n", "rare").mapInArrow(entries, "s long, gid long, n int").repartition("s").sortWithinPartitions("s", "n", "gid")
-    found = scratch.save(listed.mapInArrow(_pair_up(percent, over), "a long, b long, kind byte"), "found")
+    listed = leaders.select("gid", "n", "rare").mapInArrow(W.lean(entries), "s long, gid long, n int").repartition("s").sortWithinPartitions("s", "n", "gid")
+    found = scratch.save(listed.mapInArrow(W.lean(_pair_up(percent, over)), "a long, b long, kind byte"), "found")
     # Candidate pairs of groups, and pairs inside small groups, as pairs of members with a filter on counts.
     who = members.select("gid", "rep", "n", "sig", "sets")
     sides = base.select("doc_id", "sig", "parts", "sketch").dropDuplicates(["doc_id", "sig"])
@@ -273,7 +273,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             fits = np.abs(xp - yp).sum(axis=1) <= _bar(xn, yn, percent)
             yield pa.RecordBatch.from_arrays([pa.array(W.column_of(batch, c).to_numpy()[fits]) for c in ("x", "y")], names=["x", "y"])
 
-    pairs = scratch.save(inside.unionByName(across).mapInArrow(sieve, "x long, y long"), "pairs")
+    pairs = scratch.save(inside.unionByName(across).mapInArrow(W.lean(sieve), "x long, y long"), "pairs")
     # Lists: long ones of shingles, large groups, and frequent shingles.
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(gids, pa.int64())], names=["s", "gid"])
 
     lists = found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("gid"))
-    lists = lists.union(leaders.where("length(often) > 0").select("gid", "often").mapInArrow(spelled, "s long, gid long"))
+    lists = lists.union(leaders.where("length(often) > 0").select("gid", "often").mapInArrow(W.lean(spelled), "s long, gid long"))
     lists = scratch.save(lists.union(members.where(f"rep = gid and sets > {over}").select(F.xxhash64(F.lit("group"), "gid"), "gid")).distinct(), "lists")
     scratch.drop("found", "leaders", "frequent")
     listed = scratch.save(who.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "rep", "n", "parts", "sketch"), "listed")
@@ -297,14 +297,14 @@ def similar_documents(docs: DataFrame, scratch: Scratch, *, size: int = 5, perce
     needed = scratch.save(pairs.select("x").union(pairs.select("y")).union(listed.select("rep")).toDF("id").distinct(), "needed")
     sets = scratch.save(_whole_sets(docs, needed, size, known), "sets")
     verified = _verify_pairs(pairs, sets, percent)
-    verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify_cells(percent), "a long, b long"))
+    verified = verified.union(near.join(sets, near.rep == sets.id).select("cell", "rep", "values").repartition("cell").sortWithinPartitions("cell").mapInArrow(W.lean(_verify_cells(percent)), "a long, b long"))
     verified = scratch.save(verified.distinct(), "links")
     scratch.drop("near", "needed", "pairs")
     known_ = components(verified, scratch, "near")
     mixed = _mixed(lists, listed, known_, scratch, percent)
     if mixed is not None:
         meets = _meets(mixed, 4 * cell).join(listed.select("rep", "parts"), "rep")
-        more = meets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sieve_cells(percent), "x long, y long").distinct()
+        more = meets.repartition("cell").sortWithinPartitions("cell").mapInArrow(W.lean(_sieve_cells(percent)), "x long, y long").distinct()
         verified = scratch.save(verified.union(_verify_pairs(scratch.save(more, "more"), sets, percent)).distinct(), "all_links")
     scratch.drop("sets", "listed", "lists", "several", "mixed", "more")
     joined = members.select("n", "sig", "rep").where("n > 0")
@@ -334,7 +334,7 @@ def _whole_sets(docs: DataFrame, needed: DataFrame, size: int, known: int) -> Da
                 found = [(i, x.tobytes()) for i, x in _sets(batch, size)]
                 yield pa.RecordBatch.from_arrays([W.column_of(batch, "doc_id").take([i for i, _ in found]), W.binary([x for _, x in found])], names=["id", "values"])
 
-    return docs.mapInArrow(make, "id long, values binary").where("length(values) > 0").dropDuplicates(["id"])
+    return docs.mapInArrow(W.lean(make), "id long, values binary").where("length(values) > 0").dropDuplicates(["id"])
 
 
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,7 +353,7 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("x"), F.col("values").alias("xs"))
     right = sets.select(F.col("id").alias("y"), F.col("values").alias("ys"))
-    return pairs.distinct().join(left, "x").join(right, "y").mapInArrow(check, "a long, b long")
+    return pairs.distinct().join(left, "x").join(right, "y").mapInArrow(W.lean(check), "a long, b long")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:

@@ -147,10 +147,10 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, a
     """
     set_batches(docs.sparkSession)
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = scratch.save(read.mapInArrow(_lines, LINES), "lines")
+    lines = scratch.save(read.mapInArrow(W.lean(_lines), LINES), "lines")
     masked = lines.groupBy("masked").agg(F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
     dealt = masked.where("leaf is not null").select("leaf", "masked", "tokens").repartition("leaf").sortWithinPartitions("leaf", "masked")
-    joined = scratch.save(dealt.mapInArrow(_templates(alike, leaf), "masked long, template long"), "joined")
+    joined = scratch.save(dealt.mapInArrow(W.lean(_templates(alike, leaf)), "masked long, template long"), "joined")
     known = lines.select("doc_id", "line", "masked", (F.col("words") >= words).alias("long")).join(joined, "masked", "left").select("doc_id", "line", F.coalesce("template", "masked").alias("template"), "long")
     known = scratch.save(known.distinct(), "known")
     scratch.drop("lines", "joined")
@@ -215,4 +215,4 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, *, documents: int = 10, alike
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*rest, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
-    return read.mapInArrow(rewrite, schema)
+    return read.mapInArrow(W.lean(rewrite), schema)

@@ -7,7 +7,6 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +91,9 @@ class Encoder:
         return [b"".join(x) for x in found]
 
 
-@lru_cache(2)
 def _encoder(path: str) -> Encoder:
-    """A worker's own, kept from task to task."""
-    return Encoder(path)
+    """A worker's own, kept from task to task of pieces_of()."""
+    return W.kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -115,7 +113,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
                         values.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 1 else pa.int64()) for i, x in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(W.lean(cut, keep=f"encoder {tokenizer}"), PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -204,4 +202,4 @@ def pack(docs: DataFrame, scratch: Scratch, *, tokenizer: str, capacity: int = 2
             yield pa.RecordBatch.from_arrays([*(W.column_of(batch, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(plan[at, 3] + rank - plan[at, 1]), pa.array(plan[at, 4])], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(W.lean(place), f"{PIECES}, sequence_id long, offset long")

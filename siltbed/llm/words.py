@@ -6,7 +6,8 @@ coefficients, mixed; it depends on the word alone, so it is the same in every ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,10 @@ _LOWER[65:91] = _BYTES[97:123]
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 #: Bytes of text that are split at once; a longer text is split alone.
 CHUNK = 1 << 20
+#: What a worker keeps from task to task, for one operator.
+_kept: dict[str, object] = {}
+#: glibc's; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _tables(n: int) -> list[np.ndarray]:
@@ -135,3 +140,35 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """A worker's own `name`, kept until a task of lean() runs that doesn't keep it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _begin(keep: str | None) -> None:
+    for name in [x for x in _kept if x != keep]:
+        del _kept[name]
+
+
+def _end() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None):  # noqa: ANN201
+    """`run` for mapInArrow, which returns what its task has freed to the system: a worker stays for the whole session, beside
+    those of other operators, with what it keeps of other names than `keep` dropped."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keep)
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return own
