@@ -58,5 +58,9 @@ def hll_estimates(registers: DataFrame, group: list[str] | None = None) -> DataF
 
 
 def approx_distinct(rows: DataFrame, column: str) -> DataFrame:
-    """est, exact: an accurate estimate of distinct values (an extension; FNV-1 leaves the compatible sketch far off) and their count."""
-    return rows.agg(F.approx_count_distinct(column, 0.01).alias("est"), F.count_distinct(column).alias("exact"))
+    """est, exact: an accurate estimate of distinct values (an extension; FNV-1 leaves the compatible sketch far off) and their count.
+
+    Both are taken over the distinct values, so that a task has one sketch: beside count_distinct() each value would carry its own (13 KB).
+    """
+    values = rows.select(F.col(column).alias("_value")).distinct()
+    return values.agg(F.approx_count_distinct("_value", 0.01).alias("est"), F.count("_value").alias("exact"))

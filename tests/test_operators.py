@@ -150,6 +150,39 @@ def test_sketches_bound_their_counts(spark):
     assert all(r["est"] >= exact[r["k"]] for r in found)
 
 
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_distinct_values_carry_no_sketch_each(spark):
+    """Aggregates by value hold the value alone; a sketch of 1,639 words for each one filled memory and disk."""
+    found = sketches.approx_distinct(spark.range(1000), "id")
+    plan = list(_nodes(found._jdf.queryExecution().sparkPlan()))
+    by_value = [n for n in plan if n.nodeName().endswith("Aggregate") and n.groupingExpressions().size()]
+    assert by_value and all(n.output().size() == 1 for n in by_value)
+
+
+@pytest.mark.parametrize(
+    ("kind", "rows", "exact"),
+    [
+        ("double", [0.0, -0.0, float("nan"), -float("nan"), 1.5, 1.5, None, float("inf")], 4),
+        ("string", ["", "a", "A", "a ", "a", None, None], 4),
+        ("array<int>", [[], [1, 2], [2, 1], [1, 2], None], 3),
+        ("long", [None, None], 0),
+        ("long", [], 0),
+        ("long", [i % 20011 for i in range(60000)], 20011),
+    ],
+)
+def test_distinct_values_and_their_estimate(spark, kind, rows, exact):
+    df = spark.createDataFrame([((x,), i) for i, x in enumerate(rows)], f"s struct<`_value`: {kind}>, _value int").repartition(3)
+    found = sketches.approx_distinct(df, "s._value").first()
+    assert found["exact"] == exact
+    assert found["est"] == df.agg(F.approx_count_distinct("s._value", 0.01)).first()[0]
+    assert abs(found["est"] - exact) <= 0.05 * exact
+
+
 def test_simhash(spark):
     docs = spark.createDataFrame([(0, "The cat, the hat."), (1, "the cat the hat"), (2, None), (3, "")], "doc_id long, text string")
     h = {r["doc_id"]: r["h"] for r in simhash.fingerprint(docs).collect()}
